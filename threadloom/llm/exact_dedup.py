@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,6 +30,10 @@ LEAST = 64
 BLOCK = 8192
 
 
+def normalised(text: Column) -> Column:
+    return F.regexp_replace(text, WHITE, "")
+
+
 def integer_names(df: DataFrame, keys: list[str], row: str, out: str) -> DataFrame:
     """df without `keys` and with a column `out`, an integer equal for two rows exactly if their keys are equal.
 
@@ -73,7 +77,7 @@ def text_identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         F.monotonically_increasing_id().alias("row_id"),
         "doc_id",
         F.length("text").cast("long").alias("n_points"),
-        F.regexp_replace("text", WHITE, "").alias("norm"),
+        normalised(F.col("text")).alias("norm"),
     ).withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.length("norm") / F.lit(block))).cast("int"))
     pieces = norm.select(
         "row_id",

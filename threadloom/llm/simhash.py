@@ -19,8 +19,9 @@ from itertools import repeat
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import plain_text, save
+from .common import save
 from .components import components
 
 WORDS = 4
@@ -64,18 +65,19 @@ def fingerprints_of(texts: list[str], words: int = WORDS):
     return out.view(np.int64)
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, fp (long).  Null texts, and those without words, have 0."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def fingerprints(docs: DataFrame, words: int = WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of docs(doc_id, text): doc_id, the columns of `keep`, fp (long).  Texts without words have 0."""
+    columns = ["doc_id", *keep]
+    schema = T.StructType([docs.schema[c] for c in columns]).add("fp", T.LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                fp = fingerprints_of(part.column(1).to_pylist(), words)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], names=["doc_id", "fp"])
+                fp = fingerprints_of([t or "" for t in part.column("text").to_pylist()], words)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], pa.array(fp)], names=[*columns, "fp"])
 
-    return docs.select("doc_id", plain_text().alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(*columns, "text").mapInArrow(run, schema)
 
 
 def flips(bits: int, most: int) -> list[int]:
@@ -195,15 +197,15 @@ def near_links(distinct: DataFrame, count: int, radius: int = RADIUS) -> DataFra
     return groups.groupBy("prefix", "part").applyInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """Per row of docs(doc_id, text, ...): doc_id, fingerprint, component_id.
+def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of docs(doc_id, text, ...): doc_id, fingerprint, component_id, and the columns of `keep`.
 
     Texts are compared in ASCII lower case by shingles of `words` words; component_id is the smallest doc_id of all
     that are reachable over links of at most 2 * radius differing bits.  Null, empty and blank texts have fingerprint
     zero and link like any others.  Equal texts, repeated rows and rows with a null doc_id stay, each with its
     component (the smallest doc_id that isn't null).  Other columns are ignored.  An empty table gives an empty result.
     """
-    rows = save(fingerprints(docs, words), "fingerprints")
+    rows = save(fingerprints(docs, words, keep), "fingerprints")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     linked = components(near_links(distinct.select("fp"), rows.count(), radius))
     named = distinct.join(linked, distinct["fp"] == linked["node"], "left").select(
@@ -212,5 +214,5 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = named.join(least, "component").select("fp", "component_id")
     return rows.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *keep
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, packing, permutation_index, quality, secrets, simhash, urls
+from . import bpe, chat, exact_dedup, packing, passages, permutation_index, quality, secrets, simhash, urls
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats_digest(passages.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("row_id")
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
     "op3_neighbours": op3_neighbours,
+    "op4_repeats": op4_repeats,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash": op6_simhash,
     "op7_secrets": op7_secrets,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, packing, passages, permutation_index, quality, secrets, simhash, urls
+from . import bpe, chat, exact_dedup, packing, passages, permutation_index, quality, secret_scan, simhash, urls
 from .common import table
 
 
@@ -36,7 +36,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secrets_digest(secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return secret_scan.secrets_digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from threadloom.llm.common import plain_text, save, table
 from threadloom.llm.exact_dedup import exact_duplicates, normalised
 from threadloom.llm.packing import pack_documents, packing_digest
 from threadloom.llm.quality import score_quality
-from threadloom.llm.secrets import masked, scan_secrets
+from threadloom.llm.secret_scan import masked, scan_secrets
 from threadloom.llm.simhash import near_duplicates
 
 VOCABULARY = "word_bpe_49k.json"

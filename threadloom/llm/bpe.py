@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain_text
+from .common import plain_text, small_batches
 
 #: Distinct words whose ids a task keeps.
 KEPT = 200_000
@@ -129,6 +129,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     special tokens added; decoded is made from the ids.  Null and empty texts give no ids and an empty text.  Repeated
     rows stay, other columns are ignored, an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     with open(vocabulary_path, encoding="utf-8") as f:
         shipped = docs.sparkSession.sparkContext.broadcast((f.read(), unassigned()))
     kind = docs.schema["doc_id"].dataType

@@ -17,40 +17,80 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain_text
+from .common import plain_text, small_batches
 
 CAPACITY = 2048
 END_ID = 1
-#: Tokens whose pieces are held at once, and distinct chunks of text whose ids are kept.
-HELD = 2_000_000
-KEPT = 200_000
+#: Tokens whose pieces are held at once, and distinct chunks and pieces of text whose ids a task keeps.
+HELD = 1_000_000
+KEPT = 600_000
+
+
+#: Texts of these characters alone are split here as the vocabulary's own pre-tokenizer splits them.
+PLAIN = r"[^\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ÿ]"
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+"
+END_OF_WORD = "</w>"
 
 
 def encoder(vocabulary: str):
     """A function from a list of texts to a list of bytes: their ids as little-endian 32-bit integers.
 
-    The vocabulary drops white space and merges nothing across it, so a text is encoded chunk by chunk and the ids of
-    a chunk are kept.
+    The vocabulary is lower case, drops white space and merges nothing across the pieces that it splits a text into.
+    So pieces are encoded once each, many in one string, and are told apart by the tokens that end a word.  A text
+    with other characters, or with a control string, is encoded as a whole.
     """
+    import gc
+    import json
+    import os
+    import re
+
+    import numpy as np
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(vocabulary)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    known: dict[bytes, bytes] = {}
+    spec = json.loads(vocabulary)
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    for token, i in spec["model"]["vocab"].items():
+        ends[i] = token.endswith(END_OF_WORD)
+    control = [x["content"] for x in spec["added_tokens"]]
+    odd, pieces = re.compile(PLAIN).search, re.compile(PIECES).findall
+    known: dict[str, bytes] = {}
+    chunks: dict[str, bytes] = {}
+
+    def whole(texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def learn(new: list[str]) -> None:
+        for at in range(0, len(new), 2000):
+            some = new[at : at + 2000]
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(ends[ids]) + 1).tolist()
+            if len(cuts) == len(some):
+                data = ids.tobytes()
+                known.update(zip(some, [data[4 * a : 4 * z] for a, z in zip([0, *cuts], cuts)]))
+            else:
+                known.update(zip(some, whole(some)))
 
     def encode(texts: list[str]) -> list[bytes]:
-        import numpy as np
-
+        gc.disable()  # nothing here forms cycles, and many small lists would set it off again and again
         if len(known) > KEPT:
             known.clear()
-        chunks = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        new = list({c for part in chunks for c in part if c not in known})
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for c, e in zip(some, tokenizer.encode_batch([c.decode("utf-8", "replace") for c in some], add_special_tokens=False)):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[c] for c in part]) for part in chunks]
+        if len(chunks) > KEPT:
+            chunks.clear()
+        parts: list = [None if odd(t) or any(c in t for c in control) else t.lower().split() for t in texts]
+        cut = {c: pieces(c) for c in set().union(*[p for p in parts if p]) if c not in chunks}
+        learn([p for p in set().union(*cut.values()) if p not in known])
+        get = known.__getitem__
+        for c, p in cut.items():
+            chunks[c] = known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]] if len(p) == 2 else b"".join(map(get, p))
+        get = chunks.__getitem__
+        out = [b"".join(map(get, p)) if p is not None else whole([t.encode("utf-8", "replace").decode()])[0] for t, p in zip(texts, parts)]
+        gc.enable()
+        return out
 
     return encode
 
@@ -169,6 +209,7 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACI
     gap: to capacity, or to a power of two below it at a partition's end.  Repeated rows are packed as often as they
     occur.  Other columns are ignored.  An empty table gives no piece.  The result depends on how docs is partitioned.
     """
+    small_batches(docs.sparkSession)
     with open(vocabulary_path, encoding="utf-8") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = docs.schema["doc_id"].dataType

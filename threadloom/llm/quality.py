@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import plain_text, save
+from .common import plain_text, save, small_batches
 
 #: Bound of the training sample in documents, and of the vectors learned from it.
 TRAIN, WORDS, SHAPES = 6000, 20_000, 1000
@@ -27,7 +27,7 @@ DIMENSIONS, NONZERO, WINDOW = 64, 4, 2
 HIDDEN, STEPS, RATE, DECAY = 32, 400, 0.01, 1e-4
 THRESHOLD = 0.3
 #: Distinct words whose places a task keeps.
-KEPT = 500_000
+KEPT = 300_000
 
 RUN = re.compile(r"(.)\1+")
 
@@ -156,6 +156,7 @@ class Pooler:
 
 def pooled(docs: DataFrame, columns: list[str], words: list[str], shapes: list[str], vectors, finish, kind) -> DataFrame:
     """docs with a text: the named columns and `_out`, what finish makes of the features."""
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast((words, shapes, vectors))
     schema = T.StructType([docs.schema[c] for c in columns]).add("_out", kind)
 

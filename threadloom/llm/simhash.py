@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import save
+from .common import save, small_batches
 from .components import components
 
 WORDS = 4
@@ -67,6 +67,7 @@ def fingerprints_of(texts: list[str], words: int = WORDS):
 
 def fingerprints(docs: DataFrame, words: int = WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, the columns of `keep`, fp (long).  Texts without words have 0."""
+    small_batches(docs.sparkSession)
     columns = ["doc_id", *keep]
     schema = T.StructType([docs.schema[c] for c in columns]).add("fp", T.LongType())
 

@@ -154,11 +154,11 @@ class Pooler:
         return out
 
 
-def pooled(docs: DataFrame, columns: list[str], words: list[str], shapes: list[str], vectors, finish, kind) -> DataFrame:
-    """docs with a text: the named columns and `_out`, what finish makes of the features."""
+def pooled(docs: DataFrame, columns: list[str], words: list[str], shapes: list[str], vectors, finish, kind, name: str = "_out") -> DataFrame:
+    """docs with a text: the named columns and `name`, what finish makes of the features."""
     small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast((words, shapes, vectors))
-    schema = T.StructType([docs.schema[c] for c in columns]).add("_out", kind)
+    schema = T.StructType([docs.schema[c] for c in columns]).add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pooler = Pooler(*shipped.value)
@@ -166,7 +166,7 @@ def pooled(docs: DataFrame, columns: list[str], words: list[str], shapes: list[s
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 out = finish(pooler.features([t or "" for t in part.column("text").to_pylist()]))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], pa.array(out.tolist())], names=[*columns, "_out"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], pa.array(out.tolist())], names=[*columns, name])
 
     return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, schema)
 
@@ -244,5 +244,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, columns: list[str] | None
     fit = features.orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     x, y = np.array([r["_out"] for r in fit]), np.array([r["y"] for r in fit])
     network = Network(x, y, np.arange(len(y)) % 5 == 0)
-    scored = pooled(docs, list(dict.fromkeys([*columns, "doc_id"])), words, shapes, vectors, network.probability, T.DoubleType())
-    return scored.select(*columns, fold, F.col("_out").alias("score")).select("*", predicted)
+    name = "_out" + "_" * max(map(len, docs.columns))  # longer than any other
+    scored = pooled(docs, list(dict.fromkeys([*columns, "doc_id"])), words, shapes, vectors, network.probability, T.DoubleType(), name)
+    return scored.select(*columns, fold, F.col(name).alias("score")).select("*", predicted)

@@ -143,7 +143,10 @@ class Ball:
         return fps[moved], fps[label[moved]]
 
     def meet(self, fps, variants, owners, label) -> None:
-        """Lower the labels of fingerprints that share a variant to the smallest one, in place."""
+        """Lower the labels of fingerprints that share a variant to the smallest one, in place.
+
+        Labels are roots before and after.  Only roots are lowered, so what earlier calls joined moves along.
+        """
         import numpy as np
 
         order = np.argsort(variants)
@@ -161,13 +164,12 @@ class Ball:
         edges = np.unique(np.stack([owner[keep], centre[keep]], 1), axis=0)
         a, c = edges[edges[:, 0] != edges[:, 1]].T
         while True:
-            least = np.minimum(label[a], label[c])
-            before = label.copy()
-            np.minimum.at(label, a, least)
-            np.minimum.at(label, c, least)
-            np.minimum(label, label[label], out=label)
-            if (before == label).all():
+            u, v = label[a], label[c]
+            if (u == v).all():
                 return
+            np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
+            while (label != label[label]).any():
+                label[:] = label[label]
 
 
 def near_links(distinct: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:

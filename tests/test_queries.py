@@ -42,3 +42,17 @@ def test_redaction_is_idempotent(spark):
     once = redact.redact(df, "doc_id")
     assert once.collect() == redact.redact(once, "doc_id").collect()
     assert "abc123" not in once.filter("doc_id = 1").first()["text"]
+
+
+def test_caps_are_the_reference_s(spark):
+    from threadloom.operators import compress
+
+    limits = {"terminal": 150, "build": 150, "test": 150, "tool_call": 150, "tool_result": 150, "file_edit": 150, "file_read": 160, "plan": 160, "user_message": 20, "assistant_message": 25, "reasoning": 6, "meta": 1}
+    by_type = ("user_message", "assistant_message", "reasoning", "meta")
+    rows = [(1, n * 100 + k, None if c in by_type else c, c if c in by_type else "tool_call", n > 158) for n in range(161) for k, c in enumerate(limits)]
+    rows += [(1, 100000 + n, None, "error", False) for n in range(160)]
+    kept = compress.head_per_category(spark.createDataFrame(rows, "session_id long, seq long, category string, type string, is_failure boolean")).collect()
+    got = {c: sorted(r["seq"] for r in kept if (r["category"] or r["type"]) == c) for c in [*limits, "error"]}
+    for k, (c, limit) in enumerate(limits.items()):
+        assert got[c] == [n * 100 + k for n in range(161) if n < limit or n > 158]
+    assert len(got["error"]) == 160

@@ -56,3 +56,22 @@ def test_caps_are_the_reference_s(spark):
     for k, (c, limit) in enumerate(limits.items()):
         assert got[c] == [n * 100 + k for n in range(161) if n < limit or n > 158]
     assert len(got["error"]) == 160
+
+
+def test_open_failures_are_unresolved_ones_of_the_tail(spark):
+    from threadloom.operators import aggregate, document
+
+    def event(session, seq, command, failed):
+        return (session, seq, seq, "error" if failed else "click", command, failed, "boom" if failed else "")
+
+    rows = [event(1, 1, "a", True), event(1, 2, "a ", False), event(1, 3, "b", False)]  # rerun with success
+    rows += [event(2, 1, "a", True), *[event(2, n, "b", False) for n in range(2, 17)]]  # open, but before the tail
+    rows += [event(3, 1, "a", True), *[event(3, n, "b", False) for n in range(2, 16)]]  # open, the first of the tail
+    rows += [event(4, 1, "a", False), event(4, 2, "a", True)]  # the success came first
+    events = spark.createDataFrame(rows, "session_id long, seq long, ts long, event_type string, command string, is_failure boolean, error string")
+    status = {r["session_id"]: r["status"] for r in aggregate.task_status(events).collect()}
+    assert status == {1: "in_progress", 2: "in_progress", 3: "blocked", 4: "blocked"}
+    issues = document.unresolved(events)
+    assert sorted((r["session_id"], r["what"]) for r in issues.collect()) == [(3, "failed: a"), (4, "failed: a")]
+    actions = document.next_actions(issues, events.select("session_id").distinct()).collect()
+    assert sorted((r["session_id"], r["action"]) for r in actions) == [(1, "review the session"), (2, "review the session"), (3, "rerun a"), (4, "rerun a")]

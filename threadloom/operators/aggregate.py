@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import pairing
 
 SESSION = "session_id"
 
@@ -122,8 +123,8 @@ def ends(messages: DataFrame, role: str, k: int, last: bool, what: str = "conten
 
 
 def task_status(events: DataFrame, tail: int = 15) -> DataFrame:
-    """in_progress after an interrupt, blocked on a failure in the tail, completed after a clean finish, else in_progress."""
-    late = tail_failures(events, tail).groupBy(SESSION).agg(F.count(F.lit(1)).alias("open"))
+    """in_progress after an interrupt, blocked on an open failure, completed after a clean finish, else in_progress."""
+    late = open_failures(events, tail).groupBy(SESSION).agg(F.count(F.lit(1)).alias("open"))
     whole = events.groupBy(SESSION).agg(
         F.max(F.col("event_type") == "signup").alias("interrupted"),
         F.max_by(F.col("event_type") == "purchase", "seq").alias("finished"),
@@ -138,7 +139,16 @@ def task_status(events: DataFrame, tail: int = 15) -> DataFrame:
     return whole.join(late, SESSION, "left").select(SESSION, status.alias("status"))
 
 
+def backwards(events: DataFrame) -> DataFrame:
+    """events with `back`, their number from the end of the session."""
+    return events.withColumn("back", F.row_number().over(W.partitionBy(SESSION).orderBy(F.desc("seq"))))
+
+
 def tail_failures(events: DataFrame, tail: int = 15) -> DataFrame:
     """The failures among the last events of each session.  The rank's limit is applied before the shuffle."""
-    late = events.withColumn("back", F.row_number().over(W.partitionBy(SESSION).orderBy(F.desc("seq")))).filter(F.col("back") <= tail)
-    return late.filter("is_failure")
+    return backwards(events).filter(F.col("back") <= tail).filter("is_failure")
+
+
+def open_failures(events: DataFrame, tail: int = 15) -> DataFrame:
+    """The failures among the last events of each session that no later success of the same command resolves."""
+    return pairing.resolved_later(backwards(events)).filter(F.col("back") <= tail).filter("not resolved").drop("resolved")

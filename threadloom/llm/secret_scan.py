@@ -134,7 +134,7 @@ def scan_secrets(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame
     """docs with `base` and `spans`: arrays of struct(start, order, kind, end) by start, then kind.
 
     Positions are code points, ends are exclusive.  base holds what the patterns of BASE find, spans also what the
-    models find outside of them.  samples(text, is_random) train the models; by default labelled_samples.  A null text
+    models find, unless one of them covers it.  samples(text, is_random) train the models; by default labelled_samples.  A null text
     is an empty one and has no spans.  Columns named base and spans are replaced, others and repeated rows stay.  An
     empty table gives an empty result.
     """
@@ -153,7 +153,7 @@ def scan_secrets(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame
             F.array_sort(
                 F.concat(
                     "base",
-                    F.filter("_more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))),
+                    F.filter("_more", lambda m: ~F.exists("base", lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"]))),
                 )
             ),
         )

@@ -75,3 +75,20 @@ def test_open_failures_are_unresolved_ones_of_the_tail(spark):
     assert sorted((r["session_id"], r["what"]) for r in issues.collect()) == [(3, "failed: a"), (4, "failed: a")]
     actions = document.next_actions(issues, events.select("session_id").distinct()).collect()
     assert sorted((r["session_id"], r["action"]) for r in actions) == [(1, "review the session"), (2, "review the session"), (3, "rerun a"), (4, "rerun a")]
+
+
+def test_null_keys_of_messages_are_equal(spark, tmp_path):
+    long = "x" * 41
+    rows = [(1, None, "web", long), (2, None, "web", long), (3, "en", None, long), (4, None, None, long), (5, "en", "web", long), (6, "en", "web", long), (7, None, None, "short"), (8, None, None, "short")]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    own, want = compared(spark, str(tmp_path), QUERIES["w1_message_dedup"], ORACLE_SQL["w1_message_dedup"])
+    assert own == want == (["doc_id"], [(1,), (3,), (4,), (5,), (7,), (8,)])
+
+
+def test_short_passages_are_found(spark, tmp_path):
+    texts = ["one two three four five six seven", "zone two three four fives", "one", "", None, " two  three"]
+    passages = ["one two three four five", "one two three four five six", "two three four", "one two", "one", "e", "two  three", " two", "", None, "ne two three four five si"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    own, want = compared(spark, str(tmp_path), QUERIES["j6_contains_join"], ORACLE_SQL["j6_contains_join"])
+    assert own == want and (0, 0) in own[1] and (1, 0) in own[1]

@@ -24,7 +24,10 @@ def dedup_messages(messages: DataFrame, keys: list[str], content: str = "content
     t = X.strip(F.col(content))
     marked = messages.withColumn("_long", F.length(t) > longer_than).withColumn("_hash", F.sha2(t, 256))
     first = marked.filter("_long").groupBy(*keys, "_hash").agg(F.min("seq").alias("seq"))
-    kept = marked.filter("_long").join(first, [*keys, "_hash", "seq"], "left_semi")
+    same = F.lit(True)
+    for c in [*keys, "_hash", "seq"]:
+        same &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    kept = marked.filter("_long").alias("a").join(first.alias("b"), same, "left_semi")
     return marked.filter("not _long").unionByName(kept.select(*marked.columns)).drop("_long", "_hash")
 
 

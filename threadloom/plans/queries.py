@@ -451,12 +451,15 @@ def g1_markdown(spark, d):
 
 @query("""SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)""")
 def j6_contains_join(spark, d):
-    """Benchmark passages inside documents.  A passage has an eight-word opening; documents are joined by hashed openings first."""
+    """Benchmark passages inside documents.  Documents are joined by their hashed four-word grams with words two to five
+    of a passage first; passages under six words, whose last word may be cut off among these, are looked for as they are."""
     words = lambda c: F.split(c, r"[\x20\x09-\x0D]+")
     b = table(spark, d, "benchmark").filter("text is not null").select("item_id", F.col("text").alias("passage"), F.size(words(F.col("text"))).alias("n"))
     head = F.array_join(F.slice(words(F.col("passage")), 2, 4), " ")
-    keyed = b.withColumn("key", F.xxhash64(head))
+    keyed = b.filter("n >= 6").withColumn("key", F.xxhash64(head))
     docs = table(spark, d, "documents").filter("text is not null").select("doc_id", "text", words(F.col("text")).alias("w"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 3)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 4), " "))))
     posted = docs.select("doc_id", "text", F.explode(grams).alias("key"))
-    return posted.join(keyed, "key").filter(F.contains("text", F.col("passage"))).select("doc_id", "item_id").distinct()
+    inside = F.contains("text", F.col("passage"))
+    short = docs.join(b.filter("n < 6"), inside).select("doc_id", "item_id")
+    return posted.join(keyed, "key").filter(inside).select("doc_id", "item_id").unionByName(short).distinct()

@@ -76,14 +76,22 @@ class ForcedBoundaryBpe:
         self.table = np.frombuffer(b"".join(tokens), np.uint8)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        self.odd = re.compile(odd or unassigned()).search
+        self.odd = re.compile(odd or unassigned()).fullmatch
+        self.even: set[str] = set()
         self.pre = Tokenizer.from_str(vocabulary).pre_tokenizer
         self.byte_of = byte_of
         self.fragments = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": None, "added_tokens": [], "decoder": None}))
         self.kept: dict[str, bytes] = {}
 
+    def has_odd(self, text: str) -> bool:
+        """Whether the text has an unassigned code point; each character is looked at once, then known."""
+        fresh = set(text) - self.even
+        odd = {c for c in fresh if self.odd(c)}
+        self.even |= fresh - odd
+        return bool(odd)
+
     def words_of(self, text: str) -> list[str]:
-        if text.isascii() or not self.odd(text):
+        if text.isascii() or not self.has_odd(text):
             return self.words(text)
         return [bytes(self.byte_of[c] for c in w).decode() for w, _ in self.pre.pre_tokenize_str(text)]
 

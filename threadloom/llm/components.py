@@ -9,8 +9,11 @@ from .common import save
 
 
 def _least(pairs: DataFrame) -> DataFrame:
-    """pairs(u, v) with the smallest of u and its v: u, v, m.  The minimum is combined before the shuffle."""
-    least = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    """pairs(u, v) with the smallest of u and its v: u, v, m.  The minimum is combined before the shuffle.
+
+    It is written first, so that the join is one of two tables and is split where a node has many neighbours.
+    """
+    least = save(pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
     return pairs.join(least, "u")
 
 

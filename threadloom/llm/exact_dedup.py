@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ def integer_names(df: DataFrame, keys: list[str], row: str, out: str) -> DataFra
     spark = df.sparkSession
     hashed = df.withColumn("_hash", F.xxhash64(*keys))
     top = hashed.groupBy("_hash").count().filter(F.col("count") > LEAST).orderBy(F.desc("count"), "_hash").limit(HEAVY)
-    heavy = spark.createDataFrame([(r["_hash"],) for r in top.collect()], "_hash long")
+    heavy = spark.createDataFrame(pa.table({"_hash": pa.array([r["_hash"] for r in top.collect()], pa.int64())}))
     bucket = F.shiftrightunsigned(F.col("_hash"), 38)
     name = F.shiftleft(F.col("_bucket"), 33).bitwiseOR(F.col("_rank").cast("long"))
     dictionary = (
@@ -123,6 +124,7 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = text_identities(docs, block)
     best = F.struct("n_points", (-F.col("doc_id")).alias("a"), (-F.col("row_id")).alias("b"))
     groups = rows.groupBy("rounds", "name").agg(F.count(F.lit(1)).alias("group_size"), F.max(best).alias("best"))
+    groups = save(groups, "groups")  # a join of two tables, which is split where a group is large
     return rows.join(groups, ["rounds", "name"]).select(
         "doc_id",
         (-F.col("best.a")).alias("keep_id"),

@@ -23,7 +23,7 @@ CAPACITY = 2048
 END_ID = 1
 #: Tokens whose pieces are held at once, and distinct chunks and pieces of text whose ids a task keeps.
 HELD = 1_000_000
-KEPT = 600_000
+KEPT = 300_000
 
 
 #: Texts of these characters alone are split here as the vocabulary's own pre-tokenizer splits them.

@@ -1,11 +1,12 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a two-layer network.
 
-Every token has a fixed sparse ternary index vector, drawn from its hash.  The vector of a word is the sum of the index
-vectors of its neighbours over the training sample.  A document is the mean of its words' vectors, the mean of the
-vectors of their shapes (letter case, digits and punctuation) and the share of repeated word pairs.  A network with one
-hidden layer reads this; its logit is divided by a temperature fitted on a part of the sample kept for it.
+Words and shapes (letter case, digits and punctuation of a word) are named by a hash, so every token has a place in a
+table of fixed size and none is cut off as rare.  Each place has a fixed sparse ternary index vector; the vector of a
+word is the sum of the index vectors of its neighbours over the training sample.  A document is the mean of its words'
+vectors, the mean of the vectors of their shapes and the share of repeated word pairs.  A network with one hidden layer
+reads this; its logit is divided by a temperature fitted on a part of the sample kept for it.
 
-Only the fit is on a sample, bounded by TRAIN documents and WORDS + SHAPES vectors.  Every whole text is scored.
+Only the fit is on a sample, bounded by TRAIN labelled documents.  Every whole text is scored.
 """
 
 from __future__ import annotations
@@ -21,15 +22,17 @@ from pyspark.sql import types as T
 
 from .common import plain_text, save, small_batches
 
-#: Bound of the training sample in documents, and of the vectors learned from it.
-TRAIN, WORDS, SHAPES = 6000, 20_000, 1000
+#: Bound of the training sample in documents.
+TRAIN = 6000
+#: Places of words and of shapes, in powers of two.
+WORD_BITS, SHAPE_BITS = 15, 12
 DIMENSIONS, NONZERO, WINDOW = 64, 4, 2
 HIDDEN, STEPS, RATE, DECAY = 32, 400, 0.01, 1e-4
 THRESHOLD = 0.3
-#: Distinct words whose places a task keeps.
-KEPT = 300_000
+#: Distinct words whose places a task keeps, each of at most so many characters; the places of others are made anew.
+KEPT, KEPT_LENGTH = 100_000, 64
 
-RUN = re.compile(r"(.)\1+")
+RUN = re.compile(r"(.)\1+", re.DOTALL)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -41,78 +44,71 @@ def shape_of(word: str) -> str:
     if word.islower() and word.isalpha():
         return "a"
     chars = ["a" if c.islower() else "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word]
-    return RUN.sub(r"\1", "".join(chars))[:12]
+    return RUN.sub(r"\1", "".join(chars))
 
 
-def index_vectors(tokens: list[str]):
-    """A sparse ternary vector per token, from its hash."""
+def index_vectors(first: int, n: int):
+    """The sparse ternary vectors of n places, from hashes of their numbers."""
     import numpy as np
     import xxhash
 
-    out = np.zeros((len(tokens), DIMENSIONS), np.float32)
-    draw = np.array([[xxhash.xxh32_intdigest(t.encode("utf-8", "surrogatepass"), k) for k in range(NONZERO)] for t in tokens], np.int64).reshape(-1, NONZERO)
+    out = np.zeros((n, DIMENSIONS), np.float32)
+    draw = np.array([[xxhash.xxh32_intdigest(i.to_bytes(4, "little"), k) for k in range(NONZERO)] for i in range(first, first + n)], np.int64)
     for k in range(NONZERO):
-        np.add.at(out, (np.arange(len(tokens)), draw[:, k] >> 1 & (DIMENSIONS - 1)), np.where(draw[:, k] & 1, 1, -1))
+        np.add.at(out, (np.arange(n), draw[:, k] >> 1 & (DIMENSIONS - 1)), np.where(draw[:, k] & 1, 1, -1))
     return out
 
 
-def tokens_of(text: str) -> tuple[list[str], list[str]]:
-    words = text.split()
-    return words, [shape_of(w) for w in words]
+class Places:
+    """The places of words and of their shapes in the table of vectors: words first, then shapes."""
 
+    def __init__(self):
+        self.kept: dict[str, tuple[int, int]] = {}
 
-def token_counts(sample: DataFrame) -> DataFrame:
-    """kind (w or s), token, count over the sample."""
+    def of(self, word: str) -> tuple[int, int]:
+        import xxhash
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                words, shapes = tokens_of(text)
-                counts.update(("w", w) for w in words)
-                counts.update(("s", s) for s in shapes)
-        keys = list(counts)
-        for at in range(0, len(keys), 10_000):
-            part = keys[at : at + 10_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in part]), pa.array([k[1] for k in part]), pa.array([counts[k] for k in part])], names=["kind", "token", "n"]
-            )
+        digest = lambda token, bits: xxhash.xxh32_intdigest(token.encode("utf-8", "surrogatepass"), 42) >> (32 - bits)
+        got = digest(word, WORD_BITS), (1 << WORD_BITS) + digest(shape_of(word), SHAPE_BITS)
+        if len(word) <= KEPT_LENGTH:
+            if len(self.kept) > KEPT:
+                self.kept.clear()
+            self.kept[word] = got
+        return got
 
-    return sample.select("text").mapInArrow(run, "kind string, token string, n long").groupBy("kind", "token").agg(F.sum("n").alias("n"))
+    def pairs(self, words) -> list[tuple[int, int]]:
+        kept = self.kept
+        return [kept.get(w) or self.of(w) for w in words]
 
 
-def context_sums(sample: DataFrame, words: list[str], shapes: list[str]) -> DataFrame:
-    """token (place in words, then shapes), vector (binary): sums of the neighbours' index vectors, one row per task."""
-    shipped = sample.sparkSession.sparkContext.broadcast((words, shapes))
+def context_sums(sample: DataFrame) -> DataFrame:
+    """place, vector: sums of the neighbours' index vectors over sample(text), one row per task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        words, shapes = shipped.value
-        place_w, place_s = ({t: i for i, t in enumerate(x)} for x in (words, shapes))
-        total = np.zeros((len(words) + len(shapes) + 2, DIMENSIONS))
-        n_w = len(words) + 1
-        index_w, index_s = index_vectors([*words, "\0rare"]), index_vectors(["\0" + s for s in [*shapes, "rare"]])
+        places, size = Places(), (1 << WORD_BITS) + (1 << SHAPE_BITS)
+        index, total = index_vectors(0, size), np.zeros((size, DIMENSIONS), np.float32)
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                ws, ss = tokens_of(text)
-                iw = np.array([place_w.get(w, len(words)) for w in ws], np.int64)
-                js = np.array([place_s.get(s, len(shapes)) for s in ss], np.int64)
-                for at in range(0, len(iw), 50_000):
-                    lo, hi = max(0, at - WINDOW), min(len(iw), at + 50_000 + WINDOW)
-                    own = index_w[iw[lo:hi]] + index_s[js[lo:hi]]
+                words = text.split()
+                for at in range(0, len(words), 50_000):
+                    lo, hi = max(0, at - WINDOW), min(len(words), at + 50_000 + WINDOW)
+                    both = np.array(places.pairs(words[lo:hi]), np.int64)
+                    own = index[both[:, 0]] + index[both[:, 1]]
                     sums = np.vstack([np.zeros((1, DIMENSIONS)), np.cumsum(own, axis=0, dtype=np.float64)])
-                    here = np.arange(at, min(len(iw), at + 50_000)) - lo
+                    here = np.arange(at, min(len(words), at + 50_000)) - lo
                     around = sums[np.minimum(here + WINDOW + 1, hi - lo)] - sums[np.maximum(here - WINDOW, 0)] - own[here]
-                    for ids in (iw[at : at + 50_000], js[at : at + 50_000] + n_w):
+                    for ids in both[here].T:
                         order = np.argsort(ids, kind="stable")
                         starts = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
                         total[ids[order[starts]]] += np.add.reduceat(around[order], starts, axis=0)
         used = np.flatnonzero(np.abs(total).sum(axis=1))
         for at in range(0, len(used), 5000):
             part = used[at : at + 5000]
+            values = pa.array(total[part].ravel().astype(np.float64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part), pa.array([r.tolist() for r in total[part]], pa.list_(pa.float64()))], names=["place", "vector"]
+                [pa.array(part), pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * DIMENSIONS, pa.int32()), values)], names=["place", "vector"]
             )
 
     each = sample.select("text").mapInArrow(run, "place long, vector array<double>")
@@ -123,17 +119,8 @@ def context_sums(sample: DataFrame, words: list[str], shapes: list[str]) -> Data
 class Pooler:
     """Turns texts into rows of features with the learned vectors."""
 
-    def __init__(self, words: list[str], shapes: list[str], vectors):
-        self.word, self.shape = ({t: i for i, t in enumerate(x)} for x in (words, shapes))
-        self.n_w, self.n_s, self.vectors = len(words), len(shapes), vectors
-        self.kept: dict[str, tuple[int, int]] = {}
-
-    def place(self, word: str) -> tuple[int, int]:
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        got = self.word.get(word, self.n_w), self.n_w + 1 + self.shape.get(shape_of(word), self.n_s)
-        self.kept[word] = got
-        return got
+    def __init__(self, vectors):
+        self.places, self.vectors = Places(), vectors
 
     def features(self, texts: list[str]):
         import numpy as np
@@ -144,8 +131,8 @@ class Pooler:
             if not words:
                 continue
             counts = Counter(words)
-            n, kept = len(words), self.kept
-            places = np.array([kept.get(w) or self.place(w) for w in counts], np.int64)
+            n = len(words)
+            places = np.array(self.places.pairs(counts), np.int64)
             weights = np.array(list(counts.values()), np.float32) / n
             row[:DIMENSIONS] = weights @ self.vectors[places[:, 0]]
             row[DIMENSIONS:-2] = weights @ self.vectors[places[:, 1]]
@@ -154,14 +141,14 @@ class Pooler:
         return out
 
 
-def pooled(docs: DataFrame, columns: list[str], words: list[str], shapes: list[str], vectors, finish, kind, name: str = "_out") -> DataFrame:
-    """docs with a text: the named columns and `name`, what finish makes of the features."""
+def pooled(docs: DataFrame, columns: list[str], vectors, finish, kind, name: str = "_out") -> DataFrame:
+    """The named columns of docs and `name`, what finish makes of the features of text (a null one is empty)."""
     small_batches(docs.sparkSession)
-    shipped = docs.sparkSession.sparkContext.broadcast((words, shapes, vectors))
+    shipped = docs.sparkSession.sparkContext.broadcast(vectors)
     schema = T.StructType([docs.schema[c] for c in columns]).add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pooler = Pooler(*shipped.value)
+        pooler = Pooler(shipped.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -193,8 +180,10 @@ class Network:
         self.layers, self.temperature = p, 1.0
         if apart.any():
             z, t = self.logit(x[apart]), y[apart]
-            loss = lambda k: np.logaddexp(0, np.where(t == 1, -z, z) / k).mean()
-            self.temperature = float(min(np.geomspace(0.25, 8, 101), key=loss))
+            ones = int(t.sum())
+            t = np.where(t == 1, (ones + 1) / (ones + 2), 1 / (len(t) - ones + 2))  # few rows never call for certainty
+            loss = lambda k: (t * np.logaddexp(0, -z / k) + (1 - t) * np.logaddexp(0, z / k)).mean()
+            self.temperature = float(min(np.geomspace(1, 32, 101), key=loss))
 
     def logit(self, x):
         import numpy as np
@@ -216,34 +205,46 @@ def training_sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> Da
     return texts.join(F.broadcast(first), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
+def fit(docs: DataFrame, labels: DataFrame):
+    """The word vectors and the network learned from labels(doc_id, quality), or None without labels of both values."""
+    import numpy as np
+
+    sample = save(training_sample(docs, labels).repartition(12, "doc_id"), "quality-sample")
+    if sample.select("y").distinct().count() < 2:
+        return None
+    vectors = np.zeros(((1 << WORD_BITS) + (1 << SHAPE_BITS), DIMENSIONS), np.float32)
+    sums = context_sums(sample).toArrow()  # a row per place at most
+    vectors[sums.column("place").to_numpy()] = np.array(sums.column("vector").combine_chunks().flatten()).reshape(-1, DIMENSIONS)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-6
+    features = pooled(sample, ["doc_id", "y"], vectors, lambda x: x, T.ArrayType(T.DoubleType()))
+    rows = features.orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    x, y = np.array([r["_out"] for r in rows]), np.array([r["y"] for r in rows])
+    return vectors, Network(x, y, np.arange(len(y)) % 5 == 0)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """docs(doc_id, text, ...) with held_out, score and predicted, fitted on labels(doc_id, quality 0 or 1).
 
     score is the calibrated probability of label 1 and depends on the text alone; predicted is 1 from `threshold`.
     held_out marks the fold that nothing is learned from; it is false for a null doc_id.  A null text is an empty one
-    and is scored like any other.  Repeated rows stay; `columns`, or all other columns, pass through (columns named
-    held_out, score and predicted are replaced).  Without labels of both values every score is 0.5.  An empty table
-    gives an empty result.
+    and is scored like any other; texts of any length are scored whole.  Repeated rows stay; `columns`, or all other
+    columns, pass through (columns named held_out, score and predicted are replaced).  A doc_id with both labels counts
+    as 1, and one with several texts is learned by the smallest.  Without labels of both values every score is 0.5.
+    An empty table gives an empty result.
     """
-    import numpy as np
-
     columns = [c for c in columns or docs.columns if c not in ("held_out", "score", "predicted")]
-    fold = F.coalesce(held_out(), F.lit(False)).alias("held_out")
-    predicted = (F.col("score") >= threshold).cast("int").alias("predicted")
-    sample = save(training_sample(docs, labels).repartition(12, "doc_id"), "quality-sample")
-    if sample.select("y").distinct().count() < 2:
-        return docs.select(*columns, fold, F.lit(0.5).alias("score")).select("*", predicted)
-    counts = save(token_counts(sample), "quality-tokens")
-    most = lambda kind, n: [r["token"] for r in counts.filter(F.col("kind") == kind).orderBy(F.desc("n"), "token").limit(n).collect()]
-    words, shapes = most("w", WORDS), most("s", SHAPES)
-    vectors = np.zeros((len(words) + len(shapes) + 2, DIMENSIONS), np.float32)
-    for r in context_sums(sample, words, shapes).collect():
-        vectors[r["place"]] = r["vector"]
-    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-6
-    features = pooled(sample, ["doc_id", "y"], words, shapes, vectors, lambda x: x, T.ArrayType(T.DoubleType()))
-    fit = features.orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    x, y = np.array([r["_out"] for r in fit]), np.array([r["y"] for r in fit])
-    network = Network(x, y, np.arange(len(y)) % 5 == 0)
     name = "_out" + "_" * max(map(len, docs.columns))  # longer than any other
-    scored = pooled(docs, list(dict.fromkeys([*columns, "doc_id"])), words, shapes, vectors, network.probability, T.DoubleType(), name)
+    scored = quality_scores(docs, labels, columns, name)
+    fold = F.coalesce(held_out(name + "_id"), F.lit(False)).alias("held_out")
+    predicted = (F.col("score") >= threshold).cast("int").alias("predicted")
     return scored.select(*columns, fold, F.col(name).alias("score")).select("*", predicted)
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """The named columns of docs, its doc_id as `name`_id, and the score as `name`."""
+    learned = fit(docs, labels)
+    own = docs.withColumn(name + "_id", F.col("doc_id"))
+    if learned is None:
+        return own.select(*columns, name + "_id", F.lit(0.5).alias(name))
+    vectors, network = learned
+    return pooled(own, [*columns, name + "_id"], vectors, network.probability, T.DoubleType(), name)

@@ -130,35 +130,37 @@ def spans_of(text: Column, kind: str, order: int, pattern: str, keep) -> Column:
     )
 
 
-def scan_secrets(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
-    """docs with `base` and `spans`: arrays of struct(start, order, kind, end) by start, then kind.
+def found_in(spark: SparkSession, text: Column, samples: DataFrame | None = None) -> Column:
+    """What patterns (`base`) and models (`more`) find in a text that isn't null: two arrays of struct(start, order, kind, end).
 
-    Positions are code points, ends are exclusive.  base holds what the patterns of BASE find, spans also what the
-    models find, unless one of them covers it.  samples(text, is_random) train the models; by default labelled_samples.  A null text
-    is an empty one and has no spans.  Columns named base and spans are replaced, others and repeated rows stay.  An
-    empty table gives an empty result.
+    samples(text, is_random) train the models; by default labelled_samples.
     """
-    table = train(samples if samples is not None else labelled_samples(docs.sparkSession))
-    text = plain_text()
+    table = train(samples if samples is not None else labelled_samples(spark))
     long_enough = lambda pattern, group, least: lambda m: F.length(F.regexp_extract(m, pattern, group)) >= least
     base = [spans_of(text, kind, i, p, long_enough(p, group, least)) for i, (kind, (p, group, least)) in enumerate(BASE.items())]
     random = lambda m: ratio(m, table) >= F.greatest(F.lit(BOUND), F.length(m) * BOUND_PER_CHARACTER)
     more = spans_of(text, METHOD, len(BASE), CANDIDATE, random)
-    return (
-        docs.drop("base", "spans", "_more")
-        .withColumn("base", F.array_sort(F.concat(*base)))
-        .withColumn("_more", more)
-        .withColumn(
-            "spans",
-            F.array_sort(
-                F.concat(
-                    "base",
-                    F.filter("_more", lambda m: ~F.exists("base", lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"]))),
-                )
-            ),
-        )
-        .drop("_more")
-    )
+    return F.struct(F.array_sort(F.concat(*base)).alias("base"), more.alias("more"))
+
+
+def all_spans(found: Column) -> Column:
+    """The patterns' spans, and the models' unless one of the patterns' covers it, by start, then kind."""
+    uncovered = F.filter(found["more"], lambda m: ~F.exists(found["base"], lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"])))
+    return F.array_sort(F.concat(found["base"], uncovered))
+
+
+def scan_secrets(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+    """docs with `base` and `spans`: arrays of struct(start, order, kind, end) by start, then kind.
+
+    Positions are code points, ends are exclusive.  base holds what the patterns of BASE find, spans also what the
+    models find, unless one of them covers it.  samples(text, is_random) train the models; by default labelled_samples.
+    A null text is an empty one and has no spans; texts of any length are scanned whole.  Columns named base and spans
+    are replaced, others and repeated rows stay.  An empty table gives an empty result.
+    """
+    found = "found" + "_" * max(map(len, docs.columns))  # longer than any other name
+    others = [c for c in docs.columns if c not in ("base", "spans")]
+    rows = docs.withColumn(found, found_in(docs.sparkSession, plain_text(), samples))
+    return rows.select(*others, F.col(found)["base"].alias("base"), all_spans(F.col(found)).alias("spans"))
 
 
 def written(spans: Column) -> Column:

@@ -30,7 +30,7 @@ RADIUS = 2
 #: Fingerprints per prefix on average, and those from which a prefix is split; variants sorted at once.
 PER_PREFIX = 4096
 SPLIT_FROM = 1 << 17
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 20
 
 
 def shingle_hashes(text: str, words: int = WORDS) -> list[int]:
@@ -214,8 +214,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, k
     named = distinct.join(linked, distinct["fp"] == linked["node"], "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component")
     )
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "component").select("fp", "component_id")
+    named = save(named, "named")
+    least = save(named.groupBy("component").agg(F.min("first").alias("component_id")), "components")
+    named = save(named.join(least, "component").select("fp", "component_id"), "named")  # joins of tables are split where a key is frequent
     return rows.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *keep
     )

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, chat, exact_dedup, packing, passages, permutation_index, quality, secret_scan, simhash, urls
 from .common import table
@@ -50,7 +51,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], turns.schema)
+    said = F.array(*[F.struct(F.lit(k).alias("turn"), F.lit(role).alias("role")) for k, role in enumerate(("user", "assistant"))])
+    extra = spark.range(1).select(F.inline(said)).select(F.lit(-1).alias("conv_id"), "turn", "role", F.lit(probe).alias("text")).to(turns.schema)
     return chat.conversation_digest(chat.prefix_target_examples(turns.unionByName(extra)))
 
 
@@ -98,3 +100,41 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
        CAST(sum(upto) FILTER (role = 'assistant' OR k = n) AS BIGINT) AS formatted_chars
 FROM s GROUP BY conv_id
 """
+
+_RULES = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
+_FITS = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for v, h, p in _RULES]
+ORACLE_SQL["op8_url_filters"] = rf"""
+WITH u AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{urls.UPPER}', '{urls.LOWER}') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+j AS (
+  SELECT *, CASE {" ".join(f"WHEN {fits} THEN '{rule}'" for fits, rule, _ in _FITS)} END AS rule,
+         CASE {" ".join(f"WHEN {fits} THEN {int(v == 'block')}" for fits, _, v in _FITS)} END AS label,
+         list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s:
+           CASE WHEN length(s) > 40 OR length(s) - length(replace(s, '-', '')) >= 3 THEN '{{v}}'
+                ELSE regexp_replace(regexp_replace(s, '[0-9a-f]{{12,}}', '{{h}}', 'g'), '[0-9]+', '{{n}}', 'g') END) AS template
+  FROM u),
+leaves AS (SELECT host, template, count(label)::DOUBLE AS n, coalesce(sum(label), 0)::DOUBLE AS b FROM j GROUP BY ALL),
+levels AS (SELECT *, unnest(range(0, len(template) + 1)) AS level FROM leaves),
+steps AS (
+  SELECT *, array_to_string(template[1:level], '/') AS node,
+         CASE WHEN level > 0 THEN array_to_string(template[1:level - 1], '/') END AS parent
+  FROM levels),
+nodes AS (SELECT host, node, parent, sum(n) AS n, sum(b) AS b FROM steps GROUP BY ALL),
+p AS (SELECT host, node AS parent, (b + {urls.WEIGHT}::DOUBLE * 0.5::DOUBLE) / (n + {urls.WEIGHT}::DOUBLE) AS p FROM nodes),
+judged AS (
+  SELECT host, node, abs(b - n * p) > {urls.BOUND}::DOUBLE * sqrt(n * p * (1 - p)) AS apart FROM nodes JOIN p USING (host, parent)),
+branches AS (
+  SELECT host, template, string_agg(CASE WHEN apart THEN template[level] ELSE '*' END, '/' ORDER BY level) AS branch
+  FROM steps JOIN judged USING (host, node) WHERE level > 0 GROUP BY ALL),
+tree AS (SELECT leaves.*, coalesce(branch, '') AS branch FROM leaves LEFT JOIN branches USING (host, template)),
+overall AS (SELECT (coalesce(sum(b), 0) + 1.0::DOUBLE) / (coalesce(sum(n), 0) + 2.0::DOUBLE) AS o FROM leaves),
+hosts AS (SELECT host, (sum(b) + {urls.WEIGHT}::DOUBLE * any_value(o)) / (sum(n) + {urls.WEIGHT}::DOUBLE) AS h FROM tree, overall GROUP BY host),
+ends AS (
+  SELECT host, branch, (sum(b) + {urls.WEIGHT}::DOUBLE * any_value(h)) / (sum(n) + {urls.WEIGHT}::DOUBLE) AS purity
+  FROM tree JOIN hosts USING (host) GROUP BY host, branch)
+SELECT page_id, host, path, rule,
+       CASE WHEN coalesce(label, (purity >= {urls.REJECT_FROM}::DOUBLE)::INT) = 1 THEN 'block' ELSE 'allow' END AS verdict
+FROM j JOIN tree USING (host, template) JOIN ends USING (host, branch)
+"""

@@ -1,11 +1,12 @@
 """URL filters: suffix rules first, then a path-template tree per host, with DataFrame functions alone.
 
 Paths become templates: digit runs, long hexadecimal runs and long or slug-like segments are replaced by wildcards.
-The urls are reduced to counts per host and template before anything else, so a very common host is a few rows.  Going
-down the tree of a host, children of a node whose labelled share of blocks agrees with the node's (by a two-sided test
-of proportions; unlabelled children agree) are merged into one branch `*`.  A template is rejected by the share of
-blocked labels at its branch, smoothed with the host's share, which is smoothed with the share over all hosts.
-The labels are the verdicts of the rules.
+The urls are reduced to counts per host and template before anything else, so a very common host is a few rows.  The
+templates' prefixes are the nodes of the host's tree, whatever their depth.  A node whose labelled share of blocks
+agrees with its parent's (by a two-sided test of proportions; unlabelled nodes agree) is merged with the siblings that
+do so too: its segment becomes `*`, and what is below is pooled where the rest of the path is the same.  A template is
+rejected by the share of blocked labels at its branch, smoothed with the host's share, which is smoothed with the share
+over all hosts.  The labels are the verdicts of the rules.
 """
 
 from __future__ import annotations
@@ -24,8 +25,6 @@ RULES = [
     ("block", "com", "/de/"),
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Levels of the tree; the segments below form one last wildcard.
-DEPTH = 4
 #: Labels that a parent's share counts for, and the bound of the test of proportions.
 WEIGHT, BOUND = 2.0, 1.96
 REJECT_FROM = 0.5
@@ -48,21 +47,19 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def template_of(path: Column, depth: int = DEPTH) -> Column:
-    """An array of depth + 1 generalised segments; missing ones are empty and the last stands for all deeper ones."""
+def template_of(path: Column) -> Column:
+    """The generalised segments of a path, as an array."""
     slug = lambda s: (F.length(s) > 40) | (F.length(s) - F.length(F.replace(s, F.lit("-"), F.lit(""))) >= 3)
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    general = F.transform(
+    return F.transform(
         segments,
         lambda s: F.when(slug(s), F.lit("{v}")).otherwise(
             F.regexp_replace(F.regexp_replace(s, "[0-9a-f]{12,}", "{h}"), "[0-9]+", "{n}")
         ),
     )
-    levels = [F.coalesce(F.get(general, F.lit(i)), F.lit("")) for i in range(depth)]
-    return F.array(*levels, F.when(F.size(general) > depth, F.lit("**")).otherwise(F.lit("")))
 
 
-def template_tree(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
+def template_tree(urls: DataFrame) -> DataFrame:
     """urls(host, template, label 1 blocked, 0 allowed or null) to: host, template, branch, purity."""
     rate = lambda b, n, prior: (b + F.lit(WEIGHT) * prior) / (n + F.lit(WEIGHT))
     leaves = save(
@@ -71,37 +68,43 @@ def template_tree(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
     )
     total = leaves.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
     overall = (total["b"] + 1.0) / (total["n"] + 2.0)
-    hosts = leaves.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("b").alias("hb"))
-    tree = leaves.join(hosts, "host").select(
-        "host", "template", "n", "b", F.lit("").alias("branch"), rate(F.col("hb"), F.col("hn"), F.lit(overall)).alias("host_rate")
+    upto = lambda level: F.array_join(F.slice("template", F.lit(1), level), "/")
+    levels = leaves.select("host", "template", "n", "b", F.explode(F.sequence(F.lit(0), F.size("template"))).alias("level"))
+    nodes = save(
+        levels.groupBy("host", upto(F.col("level")).alias("node"), F.when(F.col("level") > 0, upto(F.col("level") - 1)).alias("parent")).agg(
+            F.sum("n").alias("n"), F.sum("b").alias("b")
+        ),
+        "url-nodes",
+    )
+    above = nodes.select("host", F.col("node").alias("parent"), rate(F.col("b"), F.col("n"), F.lit(0.5)).alias("p"))
+    apart = F.abs(F.col("b") - F.col("n") * F.col("p")) > F.lit(BOUND) * F.sqrt(F.col("n") * F.col("p") * (1 - F.col("p")))
+    judged = save(nodes.join(above, ["host", "parent"]).select("host", "node", apart.alias("apart")), "url-nodes")
+    steps = levels.filter("level > 0").withColumn("node", upto(F.col("level"))).join(judged, ["host", "node"])
+    own = F.when(F.col("apart"), F.element_at("template", F.col("level"))).otherwise("*")
+    branches = steps.groupBy("host", "template").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("level", own.alias("to")))), lambda x: x["to"]), "/").alias("branch")
     )
-    for level in range(depth + 1):
-        tree = tree.withColumn("segment", F.get("template", F.lit(level)))
-        child = tree.groupBy("host", "branch", "segment").agg(F.sum("n").alias("cn"), F.sum("b").alias("cb"))
-        node = child.groupBy("host", "branch").agg(F.sum("cn").alias("pn"), F.sum("cb").alias("pb"))
-        p = rate(F.col("pb"), F.col("pn"), F.lit(0.5))
-        apart = F.abs(F.col("cb") - F.col("cn") * p) > F.lit(BOUND) * F.sqrt(F.col("cn") * p * (1 - p))
-        merged = child.join(node, ["host", "branch"]).select("host", "branch", "segment", F.when(apart, F.col("segment")).otherwise("*").alias("to"))
-        tree = tree.join(merged, ["host", "branch", "segment"]).withColumn("branch", F.concat("branch", F.lit("/"), "to")).drop("to", "segment")
-        tree = save(tree, "url-tree")
-    ends = tree.groupBy("host", "branch").agg(F.sum("n").alias("bn"), F.sum("b").alias("bb"))
-    return tree.join(ends, ["host", "branch"]).select(
-        "host", "template", "branch", rate(F.col("bb"), F.col("bn"), F.col("host_rate")).alias("purity")
+    tree = save(leaves.join(branches, ["host", "template"], "left").withColumn("branch", F.coalesce("branch", F.lit(""))), "url-branches")
+    ends = save(tree.groupBy("host", "branch").agg(F.sum("n").alias("bn"), F.sum("b").alias("bb")), "url-branches")
+    hosts = save(tree.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("b").alias("hb")), "url-hosts")
+    host_rate = rate(F.col("hb"), F.col("hn"), F.lit(overall))
+    return tree.join(ends, ["host", "branch"]).join(hosts, "host").select(
+        "host", "template", "branch", rate(F.col("bb"), F.col("bn"), host_rate).alias("purity")
     )
 
 
-def filter_urls(pages: DataFrame, rules=RULES, depth: int = DEPTH) -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """Per row of pages(page_id, url): page_id, host, path, rule, verdict, branch, purity.
 
-    A null url, or one without `://`, has an empty host and path and is judged like any other.  Repeated rows stay.
-    Other columns are ignored.  An empty table gives an empty result.
+    A null url, or one without `://`, has an empty host and path and is judged like any other.  Paths of any depth are
+    judged whole.  Repeated rows stay.  Other columns are ignored.  An empty table gives an empty result.
     """
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     judged = parts.select(
-        "page_id", "host", "path", longest_rule(F.col("host"), F.col("path"), rules).alias("r"), template_of(F.col("path"), depth).alias("template")
+        "page_id", "host", "path", longest_rule(F.col("host"), F.col("path"), rules).alias("r"), template_of(F.col("path")).alias("template")
     )
     label = F.when(F.col("r.verdict") == "block", 1).when(F.col("r.verdict") == "allow", 0).cast("long")
-    tree = template_tree(judged.select("host", "template", label.alias("label")), depth)
+    tree = save(template_tree(judged.select("host", "template", label.alias("label"))), "url-tree")
     return judged.join(tree, ["host", "template"]).select(
         "page_id",
         "host",

@@ -14,8 +14,8 @@ def test_query(spark, name):
     if name in ORACLE_SQL:
         own, want = compared(spark, SF, QUERIES[name], ORACLE_SQL[name])
         assert own == want
-    else:
-        assert QUERIES[name](spark, SF).count() >= 0
+    else:  # tests/test_redact.py and tests/test_logs.py hold golden values for these
+        assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_result_before_its_call_is_an_orphan(spark):
@@ -35,16 +35,7 @@ def test_upsert_twice_changes_nothing(spark):
         assert r["once"] == r["twice"] and "new" in r["once"] and "old" not in r["once"]
 
 
-def test_redaction_is_idempotent(spark):
-    from threadloom.operators import redact
-
-    df = spark.createDataFrame([(1, 'token = "abc123def456ghi" and Bearer abcdefghijklmnop'), (2, None)], "doc_id long, text string")
-    once = redact.redact(df, "doc_id")
-    assert once.collect() == redact.redact(once, "doc_id").collect()
-    assert "abc123" not in once.filter("doc_id = 1").first()["text"]
-
-
-def test_caps_are_the_reference_s(spark):
+def test_caps_by_category_or_type(spark):
     from threadloom.operators import compress
 
     limits = {"terminal": 150, "build": 150, "test": 150, "tool_call": 150, "tool_result": 150, "file_edit": 150, "file_read": 160, "plan": 160, "user_message": 20, "assistant_message": 25, "reasoning": 6, "meta": 1}
@@ -58,25 +49,6 @@ def test_caps_are_the_reference_s(spark):
     assert len(got["error"]) == 160
 
 
-def test_open_failures_are_unresolved_ones_of_the_tail(spark):
-    from threadloom.operators import aggregate, document
-
-    def event(session, seq, command, failed):
-        return (session, seq, seq, "error" if failed else "click", command, failed, "boom" if failed else "")
-
-    rows = [event(1, 1, "a", True), event(1, 2, "a ", False), event(1, 3, "b", False)]  # rerun with success
-    rows += [event(2, 1, "a", True), *[event(2, n, "b", False) for n in range(2, 17)]]  # open, but before the tail
-    rows += [event(3, 1, "a", True), *[event(3, n, "b", False) for n in range(2, 16)]]  # open, the first of the tail
-    rows += [event(4, 1, "a", False), event(4, 2, "a", True)]  # the success came first
-    events = spark.createDataFrame(rows, "session_id long, seq long, ts long, event_type string, command string, is_failure boolean, error string")
-    status = {r["session_id"]: r["status"] for r in aggregate.task_status(events).collect()}
-    assert status == {1: "in_progress", 2: "in_progress", 3: "blocked", 4: "blocked"}
-    issues = document.unresolved(events)
-    assert sorted((r["session_id"], r["what"]) for r in issues.collect()) == [(3, "failed: a"), (4, "failed: a")]
-    actions = document.next_actions(issues, events.select("session_id").distinct()).collect()
-    assert sorted((r["session_id"], r["action"]) for r in actions) == [(1, "review the session"), (2, "review the session"), (3, "rerun a"), (4, "rerun a")]
-
-
 def test_null_keys_of_messages_are_equal(spark, tmp_path):
     long = "x" * 41
     rows = [(1, None, "web", long), (2, None, "web", long), (3, "en", None, long), (4, None, None, long), (5, "en", "web", long), (6, "en", "web", long), (7, None, None, "short"), (8, None, None, "short")]

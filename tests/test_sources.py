@@ -11,22 +11,6 @@ def test_values_over_several_lines(spark, tmp_path):
     assert [(r["record"], r["is_error"]) for r in rows] == [('{"a": 1}', False), ('{"b": 2}', False), (None, True), (None, True), ('{"c": 4}', False)]
 
 
-def test_call_log(spark, tmp_path):
-    from threadloom.sources.json_log import call_log_events, read_json_log
-
-    log = [
-        {"id": "1", "timestamp": 1700000000000, "type": "message", "role": "user", "content": [{"type": "text", "text": "hi"}]},
-        {"id": "2", "timestamp": 1700000001000, "type": "function_call", "name": "shell", "callId": "c", "arguments": json.dumps({"command": "ls"})},
-        {"id": "3", "timestamp": 1700000002000, "type": "function_call_result", "callId": "c", "status": "failed", "output": [{"text": "no"}]},
-        {"id": "4", "type": "snapshot"},
-    ]
-    (tmp_path / "s.jsonl").write_text("\n".join(map(json.dumps, log)))
-    rows = call_log_events(read_json_log(spark, str(tmp_path))).orderBy("seq").collect()
-    assert [(r["type"], r["call_id"], r["command"], r["content"], r["is_failure"]) for r in rows] == [
-        ("user_message", "1", None, "hi", False), ("tool_call", "c", "ls", None, False), ("tool_result", "c", None, "no", True),
-    ]
-
-
 def test_stream(spark, tmp_path):
     from threadloom.streaming.calls import rolling_counts, without_repeats
 

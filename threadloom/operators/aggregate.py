@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from . import pairing
 
 SESSION = "session_id"
 
@@ -99,24 +98,6 @@ def recent_commands(events: DataFrame, most: int = 20, limit: int = 60) -> DataF
     return late.groupBy(SESSION).agg(listed("command").alias("commands"))
 
 
-def requirements(messages: DataFrame, most: int = 10) -> DataFrame:
-    """First sentences of what users wrote, without repeats."""
-    said = messages.filter("role = 'user'").withColumn("sentence", X.first_sentence(F.col("content"))).withColumn("key", X.dedupe_key(F.col("sentence"), 50))
-    firsts = said.groupBy(SESSION, "key").agg(F.min_by("sentence", "seq").alias("sentence"), F.min("seq").alias("seq"))
-    kept = firsts.withColumn("nth", F.row_number().over(W.partitionBy(SESSION).orderBy("seq"))).filter(F.col("nth") <= most)
-    return kept.select(SESSION, "nth", "seq", "sentence")
-
-
-def decisions(messages: DataFrame, verbs: str, most: int = 3) -> DataFrame:
-    """The first sentences of replies that state a decision: 12 to 140 characters, one of the verbs, no question."""
-    parts = messages.filter("role = 'assistant'").select(SESSION, "seq", F.posexplode(F.split("content", "[\n.]")).alias("pos", "part"))
-    s = parts.select(SESSION, "seq", "pos", X.strip(F.col("part")).alias("sentence"))
-    s = s.filter(F.length("sentence").between(12, 140) & F.rlike("sentence", F.lit(verbs)) & ~F.contains("sentence", F.lit("?")))
-    firsts = s.groupBy(SESSION, "sentence").agg(F.min(F.struct("seq", "pos")).alias("at"))
-    kept = firsts.withColumn("nth", F.row_number().over(W.partitionBy(SESSION).orderBy("at"))).filter(F.col("nth") <= most)
-    return kept.select(SESSION, "nth", "sentence")
-
-
 def ends(messages: DataFrame, role: str, k: int, last: bool, what: str = "content") -> DataFrame:
     """The first or last k rows of a role, with nth from 1 in order."""
     own = messages.filter(F.col("role") == role)
@@ -125,23 +106,6 @@ def ends(messages: DataFrame, role: str, k: int, last: bool, what: str = "conten
     return cut.withColumn("nth", F.row_number().over(W.partitionBy(SESSION).orderBy("seq"))).select(SESSION, "nth", "seq", what)
 
 
-def task_status(events: DataFrame, tail: int = 15) -> DataFrame:
-    """in_progress after an interrupt, blocked on an open failure, completed after a clean finish, else in_progress."""
-    late = open_failures(events, tail).groupBy(SESSION).agg(F.count(F.lit(1)).alias("open"))
-    whole = events.groupBy(SESSION).agg(
-        F.max(F.col("event_type") == "signup").alias("interrupted"),
-        F.max_by(F.col("event_type") == "purchase", "seq").alias("finished"),
-        F.count_if("is_failure").alias("n_failures"),
-    )
-    status = (
-        F.when(F.col("interrupted"), "in_progress")
-        .when(F.coalesce("open", F.lit(0)) > 0, "blocked")
-        .when(F.col("finished") & (F.col("n_failures") == 0), "completed")
-        .otherwise("in_progress")
-    )
-    return whole.join(late, SESSION, "left").select(SESSION, status.alias("status"))
-
-
 def backwards(events: DataFrame) -> DataFrame:
     """events with `back`, their number from the end of the session."""
     return events.withColumn("back", F.row_number().over(W.partitionBy(SESSION).orderBy(F.desc("seq"))))
@@ -150,8 +114,3 @@ def backwards(events: DataFrame) -> DataFrame:
 def tail_failures(events: DataFrame, tail: int = 15) -> DataFrame:
     """The failures among the last events of each session.  The rank's limit is applied before the shuffle."""
     return backwards(events).filter(F.col("back") <= tail).filter("is_failure")
-
-
-def open_failures(events: DataFrame, tail: int = 15) -> DataFrame:
-    """The failures among the last events of each session that no later success of the same command resolves."""
-    return pairing.resolved_later(backwards(events)).filter(F.col("back") <= tail).filter("not resolved").drop("resolved")

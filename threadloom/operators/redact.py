@@ -1,53 +1,130 @@
-"""Masking of credentials in texts: rules, findings and rewritten texts, with Spark's own expressions."""
+"""Masking of credentials in texts, with Spark's own expressions: candidates of all rules, spans without overlap, rewritten texts.
+
+A rule's matches are found one after another from where the last one ended, so each comes with its place.  Overlapping
+candidates are settled by start, severity and length before anything is rewritten, so a value is masked where it was
+found and nowhere else.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: kind: pattern, group that is masked, severity.  In the order of severity.
-RULES = {
-    "private_key": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, "high"),
-    "bearer": (r"[Bb]earer +([A-Za-z0-9._~+/-]{12,})", 1, "high"),
-    "access_key": (r"AKIA[A-Z0-9]{14,}", 0, "high"),
-    "credential": (r"(?:password|passwd|secret|token|api_key|apikey) *[:=] *[\"']?([A-Za-z0-9+/_.=-]{6,})", 1, "medium"),
-    "url_login": (r"[a-z]+://[^/\s:@]+:([^/\s:@]+)@", 1, "medium"),
-}
-#: Values that are no secrets.
-HARMLESS = ["password", "passwd", "secret", "token", "example", "changeme", "placeholder", "undefined"]
-MODES = {"strict": ("high", "medium", "low"), "balanced": ("high", "medium"), "off": ()}
+from ..fixed import MASK, NO_SECRETS, SECRET_RULES, SEVERITIES
+from ..functions import text as X
+
+MODES = {"strict": SEVERITIES, "balanced": SEVERITIES[:2], "off": []}
+SPAN = "struct<start:int,rank:int,n:int,kind:string,mask:string>"
 
 
 def plausible(value: Column) -> Column:
     """Long enough or with a digit, and no word that only stands for a secret."""
-    return ~F.lower(value).isin(HARMLESS) & ((F.length(value) >= 12) | F.rlike(value, F.lit("[0-9]")))
+    v = F.regexp_replace(X.strip(value), "^[\"']+|[\"']+$", "")
+    return (v != "") & ~F.lower(v).isin(NO_SECRETS) & ((F.length(v) >= 12) | F.rlike(v, F.lit(r"\p{Nd}")))
+
+
+def candidates(text: Column, kind: str) -> Column:
+    """The matches of one rule as SPANs: what is masked starts after `start` characters and is n long."""
+    pattern, group, severity, keep = SECRET_RULES[kind]
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s:\G.*?)(?:{pattern})"), F.lit(0))  # what precedes a match, and the match
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def step(acc: Column, piece: Column) -> Column:
+        end = acc["at"] + F.length(piece)
+        # the lazy head of a piece ends where its first match begins, so this is the same match again
+        value = F.regexp_extract(piece, rf"(?s:^.*?)(?:{pattern})", group) if group else F.regexp_extract(piece, rf"(?s:^.*?)({pattern})", 1)
+        span = F.struct(
+            (end - F.length(value)).alias("start"),
+            F.lit(SEVERITIES.index(severity)).alias("rank"),
+            F.length(value).alias("n"),
+            F.lit(kind).alias("kind"),
+            F.concat(F.left(value, F.lit(keep)), F.lit(MASK)).alias("mask"),
+        )
+        wanted = (F.length(value) > 0) & (plausible(value) if severity != "high" else F.lit(True))
+        return F.struct(end.alias("at"), F.when(wanted, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
+
+    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+
+
+def secret_spans(text: Column) -> Column:
+    """The findings of all rules without overlap, in order: of two that overlap the earlier, then the more severe, then the longer stays."""
+    order = {kind: i for i, kind in enumerate(SECRET_RULES)}
+    keyed = lambda s: F.struct(
+        s["start"].alias("start"), s["rank"].alias("rank"), (-s["n"]).alias("less"),
+        F.element_at(F.create_map(*[F.lit(x) for p in order.items() for x in p]), s["kind"]).alias("rule"), s.alias("s"),
+    )
+    ordered = F.transform(F.array_sort(F.transform(F.concat(*[candidates(text, k) for k in SECRET_RULES]), keyed)), lambda k: k["s"])
+    start = F.struct(F.lit(-1).alias("end"), F.array().cast(f"array<{SPAN}>").alias("kept"))
+
+    def step(acc: Column, s: Column) -> Column:
+        fresh = s["start"] >= acc["end"]
+        return F.struct(
+            F.when(fresh, s["start"] + s["n"]).otherwise(acc["end"]).alias("end"),
+            F.when(fresh, F.concat(acc["kept"], F.array(s))).otherwise(acc["kept"]).alias("kept"),
+        )
+
+    return F.aggregate(ordered, start, step, lambda acc: acc["kept"])
+
+
+def masked(text: Column, spans: Column, mode: str = "balanced") -> Column:
+    """The text with the spans of the mode's severities replaced by their masks."""
+    ranks = [SEVERITIES.index(s) for s in MODES.get(mode, MODES["balanced"])]
+    wanted = F.filter(spans, lambda s: s["rank"].isin(ranks)) if ranks else F.slice(spans, 1, 0)
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        between = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
+        return F.struct((s["start"] + s["n"]).alias("at"), F.concat(acc["out"], between, s["mask"]).alias("out"))
+
+    return F.aggregate(wanted, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def findings(docs: DataFrame, key: str, text: str = "text", mode: str = "balanced") -> DataFrame:
+    """key, kind, severity, line (from 1), preview, start and n per finding; none when the mode is off."""
+    if mode == "off":
+        return docs.select(key, F.explode(F.array().cast(f"array<{SPAN}>")).alias("s")).select(key, *_finding())
+    t = X.text_of(F.col(text))
+    seen = docs.select(key, t.alias("t"), secret_spans(t).alias("spans")).filter(F.size("spans") > 0)
+    line = F.length(F.left("t", F.col("s.start"))) - F.length(F.replace(F.left("t", F.col("s.start")), F.lit("\n"), F.lit(""))) + 1
+    return seen.select(key, "t", F.explode("spans").alias("s")).select(key, *_finding(line))
+
 
+def _finding(line: Column | None = None) -> list[Column]:
+    severity = F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("s.rank") + 1)
+    return [
+        F.col("s.kind").alias("kind"),
+        severity.alias("severity"),
+        (F.lit(1) if line is None else line).cast("long").alias("line"),
+        X.truncate(F.replace(F.col("s.mask"), F.lit("\n"), F.lit(" ")), 160).alias("preview"),
+        F.col("s.start").cast("long").alias("start"),
+        F.col("s.n").cast("long").alias("n"),
+    ]
 
-def values(text: Column, kind: str) -> Column:
-    pattern, group, severity = RULES[kind]
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(group))
-    return F.filter(found, plausible) if severity == "medium" else found
 
+def redact(docs: DataFrame, text: str = "text", mode: str = "balanced") -> DataFrame:
+    """docs with the findings of the mode's severities masked in `text`; a null text becomes an empty one."""
+    t = X.text_of(F.col(text))
+    if mode == "off":
+        return docs.withColumn(text, t)
+    spans = "spans" + "_" * max(map(len, docs.columns))  # longer than any other name
+    return docs.withColumn(spans, secret_spans(t)).withColumn(text, masked(t, F.col(spans), mode)).drop(spans)
 
-def findings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, kind, severity, value per finding of any rule."""
-    each = [named(F.col(text), k) for k in RULES]
-    return docs.select(key, F.explode(F.concat(*each)).alias("f")).select(key, "f.*")
 
+def redact_json(c: Column, mode: str = "balanced", depth: int = 40) -> Column:
+    """A JSON text with every string value masked, names of fields left as they are.
 
-def named(text: Column, kind: str) -> Column:
-    """The findings of one rule, as structs: kind, severity, value."""
-    return F.transform(values(text, kind), lambda v: F.struct(F.lit(kind).alias("kind"), F.lit(RULES[kind][2]).alias("severity"), v.alias("value")))
+    Strings are found as tokens of the text: a name is one that a colon follows.  Values nested deeper than `depth` stay.
+    """
+    token = r'("(?:[^"\\]|\\.)*"\s*:?|[\[\]{}]|[^"\[\]{}]+)'
+    parts = F.regexp_extract_all(c, F.lit(token), F.lit(1))
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out"))
 
+    def step(acc: Column, p: Column) -> Column:
+        value = F.startswith(p, F.lit('"')) & F.endswith(p, F.lit('"')) & (acc["depth"] <= depth)
+        raw = F.try_variant_get(F.try_parse_json(p), "$", "string")
+        out = F.when(value, F.to_json(F.array(masked(raw, secret_spans(raw), mode)))).otherwise(p)
+        bare = F.when(value, F.substring(out, F.lit(2), F.length(out) - 2)).otherwise(p)
+        change = F.when(p.isin("{", "["), 1).when(p.isin("}", "]"), -1).otherwise(0)
+        return F.struct((acc["depth"] + change).alias("depth"), F.concat(acc["out"], F.array(bare)).alias("out"))
 
-def redact(docs: DataFrame, key: str, text: str = "text", mode: str = "balanced") -> DataFrame:
-    """docs with the found values of the mode's severities replaced, longest first; nothing in what is masked is found again."""
-    wanted = [k for k, (_, _, s) in RULES.items() if s in MODES.get(mode, MODES["balanced"])]
-    if not wanted:
-        return docs
-    found = F.transform(
-        F.array_distinct(F.concat(*[named(F.col(text), k) for k in wanted])),
-        lambda f: F.struct((-F.length(f["value"])).alias("n"), f["value"].alias("value"), f["kind"].alias("kind")),
-    )
-    masked = lambda t, f: F.replace(t, f["value"], F.concat(F.lit("[REDACTED:"), f["kind"], F.lit("]")))
-    return docs.withColumn("_found", F.array_sort(found)).withColumn(text, F.aggregate("_found", F.col(text), masked)).drop("_found")
+    return F.array_join(F.aggregate(parts, start, step, lambda acc: acc["out"]), "")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import aggregate as A
-from ..operators import classify, compress, document, pairing, redact
+from ..operators import classify, compress, document, memory, pairing
+from . import logs
+from .logs import matches
 from .testdata import MESSAGES_SQL as M
 from .testdata import TOOL_SQL as T
 from .testdata import TOOLS, messages, table, tool_events
@@ -50,7 +52,7 @@ def u1_event_union(spark, d):
     return chat.unionByName(tools)
 
 
-_STRIP = r"regexp_replace(regexp_replace(coalesce({0}, ''), '^[\x20\x09-\x0D　]+', ''), '[\x20\x09-\x0D　]+$', '')"
+_STRIP = "regexp_replace(regexp_replace(coalesce({0}, ''), '^" + X.SPACE.replace("{", "{{").replace("}", "}}") + "+', ''), '" + X.SPACE.replace("{", "{{").replace("}", "}}") + "+$', '')"
 
 
 @query(f"""SELECT doc_id FROM (SELECT doc_id, length(s) AS n, row_number() OVER (PARTITION BY lang, source, s ORDER BY doc_id) AS rn
@@ -92,39 +94,51 @@ def j14_tool_category(spark, d):
     return table(spark, d, "events").select("event_id", classify.tool_category(tool).alias("category"))
 
 
-@query(f"""WITH {T} SELECT event_id, k % 10 IN (0, 1, 8) AS is_test, k % 10 IN (2, 6) AS is_build, k % 10 IN (3, 9) AS is_lint FROM t""")
+_TEST, _BUILD, _LINT, _SEARCH = (matches("full_command", p) for p in (classify.TEST, classify.BUILD, classify.LINT, classify.SEARCH))
+
+
+@query(f"""WITH {T} SELECT event_id, {_TEST} AS is_test, NOT {_TEST} AND {_BUILD} AS is_build, {_LINT} AS is_lint FROM t""")
 def f7_f8_f9_command_class(spark, d):
     return tool_events(spark, d).select("event_id", *classify.command_class(F.col("full_command")))
 
 
-@query(f"""WITH {T} SELECT event_id, exit_code = 1 AND k % 10 IN (4, 5) AS expected FROM t""")
+@query(f"""WITH {T} SELECT event_id, exit_code = 1 AND {_SEARCH} AS expected FROM t""")
 def f10_expected_nonzero(spark, d):
     return tool_events(spark, d).select("event_id", classify.expected_nonzero(F.col("full_command"), F.col("exit_code")).alias("expected"))
 
 
+#: What a tool said, by k: {c} is the exit code and {e} the error line.
+_SAID = [
+    "Exit code: {c}", "done\nProcess exited with code {c}", "it exited with code -{c}", "reading\n{e}", "all fine\nmissing nothing", "a\nb\nc\nerror on line four",
+    "sh: foo: command not found", "Exit code: {c}\nProcess exited with code 7", "1\n2\nPermission denied",
+]
+
+
 def _output(spark, d):
-    said = F.when(F.col("k") % 4 == 0, F.concat(F.lit("Exit code: "), F.col("exit_code").cast("string"))).when(F.col("k") % 4 == 1, F.concat(F.lit("done\nprocess exited with code "), F.col("exit_code").cast("string")))
-    return tool_events(spark, d).withColumn("output", said.when(F.col("k") % 4 == 2, F.concat(F.lit("reading\n"), "error")).otherwise("all fine\nmissing nothing"))
+    said = F.element_at(F.array(*[F.lit(x) for x in _SAID]), F.col("k") % len(_SAID) + 1)
+    filled = F.replace(F.replace(said, F.lit("{c}"), F.col("exit_code").cast("string")), F.lit("{e}"), F.col("error"))
+    return tool_events(spark, d).withColumn("output", filled)
 
 
 _OUTPUT = f"""WITH {T},
-o AS (SELECT *, CASE k % 4 WHEN 0 THEN 'Exit code: ' || exit_code WHEN 1 THEN 'done' || chr(10) || 'process exited with code ' || exit_code
-  WHEN 2 THEN 'reading' || chr(10) || error ELSE 'all fine' || chr(10) || 'missing nothing' END AS output FROM t)
+o AS (SELECT *, replace(replace([{", ".join("'" + x.replace(chr(10), "' || chr(10) || '") + "'" for x in _SAID)}][k % {len(_SAID)} + 1], '{{c}}', exit_code::VARCHAR), '{{e}}', error) AS output FROM t),
+c AS (SELECT *, CAST(coalesce({", ".join(f"nullif(regexp_extract(output, '{p}', 1), '')" for p in X.EXIT_CODES)}) AS INTEGER) AS code FROM o)
 """
 
 
-@query(_OUTPUT + "SELECT event_id, CASE WHEN k % 4 < 2 THEN exit_code END AS code FROM o")
+@query(_OUTPUT + "SELECT event_id, code FROM c")
 def f5_exit_code(spark, d):
     return _output(spark, d).select("event_id", X.exit_code(F.col("output")).alias("code"))
 
 
-@query(_OUTPUT + """SELECT event_id, CASE WHEN k % 4 < 2 THEN exit_code <> 0 ELSE regexp_matches(output, 'error|missing') END AS failed FROM o""")
+@query(_OUTPUT + f"""SELECT event_id, CASE WHEN code IS NOT NULL THEN code <> 0 ELSE {matches("left(output, 600)", X.STRONG_FAILURE)}
+OR {matches("array_to_string(string_split(left(output, 600), chr(10))[1:3], chr(10))", X.FAILURE_HINT)} END AS failed FROM c""")
 def f6_failure(spark, d):
     return _output(spark, d).select("event_id", X.looks_failed(X.exit_code(F.col("output")), F.col("output")).alias("failed"))
 
 
-@query(f"""WITH {T}, n AS (SELECT *, CASE WHEN k % 10 IN (0, 1, 8) THEN 'test' WHEN k % 10 IN (2, 6) THEN 'build' ELSE 'terminal' END AS cat,
-is_failure AND NOT (k % 10 IN (4, 5)) AS failed FROM t)
+@query(f"""WITH {T}, n AS (SELECT *, CASE WHEN {_TEST} THEN 'test' WHEN {_BUILD} THEN 'build' ELSE 'terminal' END AS cat,
+is_failure AND NOT ({_SEARCH}) AS failed FROM t)
 SELECT session_id, cat AS category, count(*) AS n, CAST(count(*) FILTER (failed) AS BIGINT) AS n_failed FROM n GROUP BY ALL""")
 def n8_normalised_calls(spark, d):
     calls = tool_events(spark, d).withColumn("tool_name", F.lit("shell")).withColumn("command", F.col("full_command"))
@@ -176,13 +190,6 @@ def w3_tail_failures(spark, d):
     return A.tail_failures(tool_events(spark, d)).select("event_id")
 
 
-@query(f"""WITH {T}, {_TAIL}
-SELECT session_id, CASE WHEN bool_or(event_type = 'signup') THEN 'in_progress' WHEN session_id IN (SELECT session_id FROM tail) THEN 'blocked'
-WHEN max_by(event_type, seq) = 'purchase' AND count(*) FILTER (is_failure) = 0 THEN 'completed' ELSE 'in_progress' END AS status FROM t GROUP BY session_id""")
-def w5_task_status(spark, d):
-    return A.task_status(tool_events(spark, d))
-
-
 @query(f"""WITH {T} SELECT session_id, string_agg(path, ',' ORDER BY seq) AS paths, count(*) AS n
 FROM (SELECT session_id, path, min(seq) AS seq FROM t WHERE category = 'file_read' GROUP BY ALL) GROUP BY 1""")
 def a4_read_paths(spark, d):
@@ -228,15 +235,17 @@ def a10_recent_commands(spark, d):
     return A.recent_commands(tool_events(spark, d)).select("session_id", F.array_join("commands", ",").alias("commands"))
 
 
-@query(f"WITH {T} SELECT session_id, string_agg(full_command, ',' ORDER BY seq) AS commands FROM t WHERE k % 10 IN (3, 9) GROUP BY 1")
+@query(f"WITH {T} SELECT session_id, string_agg(full_command, ',' ORDER BY seq) AS commands FROM t WHERE {_LINT} GROUP BY 1")
 def a11_lint(spark, d):
     lint = tool_events(spark, d).filter(classify.command_class(F.col("full_command"))[2])
     return lint.groupBy("session_id").agg(F.array_join(A.listed("full_command"), ",").alias("commands"))
 
 
 _CUT = lambda c, n: f"CASE WHEN length({c}) <= {n} THEN {c} ELSE left({c}, {n - 3}) || '...' END"
-_SENTENCE = f"""coalesce([x FOR x IN [{_STRIP.format('y')} FOR y IN string_split_regex(coalesce(content, ''), '[.!?\n]+')] IF length(x) >= 2][1], {_STRIP.format('content')})"""
-_KEY = lambda c, n: rf"left(regexp_replace(regexp_replace({c}, '[\x20\x09-\x0D　]', '', 'g'), '[.,:;!?''\"()\[\]{{}}<>*#`_/|-]', '', 'g'), {n})"
+_END = X.TRAILING.replace("{", "{{").replace("}", "}}")
+_BARE_END = f"regexp_replace(regexp_replace({_STRIP}, '^{_END}+', ''), '{_END}+$', '')"
+_SENTENCE = f"""coalesce([x FOR x IN [{_BARE_END.format('y')} FOR y IN string_split_regex(coalesce(content, ''), '{X.SENTENCE_ENDS}')] IF length(x) >= 2][1], {_BARE_END.format('content')})"""
+_KEY = lambda c, n: f"left(regexp_replace({c}, '{logs.quoted(X.KEY_IGNORES)}', '', 'g'), {n})"
 
 
 @query(f"""WITH {M}, s AS (SELECT *, {_SENTENCE} AS full_sentence FROM m WHERE role = 'user'),
@@ -245,16 +254,20 @@ g AS (SELECT session_id, key, min(seq) AS seq, min_by(sentence, seq) AS sentence
 r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS nth FROM g)
 SELECT session_id, nth, seq, sentence FROM r WHERE nth <= 10""")
 def a12_requirements(spark, d):
-    return A.requirements(messages(spark, d)).select("session_id", L("nth"), "seq", "sentence")
+    events = messages(spark, d)
+    return memory.requirements(events).select("session_id", "nth", "seq", F.col("line").alias("sentence"))
+
 
+_WORDS = " (the|die|la|de) "
 
-@query(f"""WITH {M}, p AS (SELECT session_id, seq, unnest(string_split_regex(content, '[\n.]')) AS part, generate_subscripts(string_split_regex(content, '[\n.]'), 1) AS pos FROM m WHERE role = 'assistant'),
-s AS (SELECT session_id, seq, pos, {_STRIP.format('part')} AS sentence FROM p),
-g AS (SELECT session_id, sentence, min(seq * 100000 + pos) AS place FROM s WHERE length(sentence) BETWEEN 12 AND 140 AND regexp_matches(sentence, ' (the|die|la|de) ') AND NOT contains(sentence, '?') GROUP BY ALL),
+
+@query(f"""WITH {M}, p AS (SELECT session_id, seq, unnest(string_split_regex(content, '[。\n]')) AS part, generate_subscripts(string_split_regex(content, '[。\n]'), 1) AS pos FROM m WHERE role = 'assistant'),
+s AS (SELECT session_id, seq, pos, {_STRIP.format("replace(" + _BARE_END.format('part') + ", '**', '')")} AS decision FROM p),
+g AS (SELECT session_id, decision, min(seq * 100000 + pos) AS place FROM s WHERE length(decision) BETWEEN 12 AND 140 AND regexp_matches(decision, '{_WORDS}') AND NOT regexp_matches(decision, '[?？]') GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY place) AS nth FROM g)
-SELECT session_id, nth, sentence FROM r WHERE nth <= 3""")
+SELECT session_id, nth, decision FROM r WHERE nth <= 3""")
 def a13_decisions(spark, d):
-    return A.decisions(messages(spark, d), " (the|die|la|de) ").select("session_id", L("nth"), "sentence")
+    return memory.decisions(messages(spark, d).withColumn("ts", F.lit(None).cast("timestamp")), _WORDS).select("session_id", "nth", "decision")
 
 
 @query(f"""WITH {M}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id, role ORDER BY seq) AS up, row_number() OVER (PARTITION BY session_id, role ORDER BY seq DESC) AS down FROM m),
@@ -277,7 +290,7 @@ def a16_file_read_collapse(spark, d):
 
 
 @query(f"""WITH {T} SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id, category, is_failure ORDER BY seq) AS nth FROM t)
-WHERE is_failure OR nth <= CASE category WHEN 'terminal' THEN 20 WHEN 'test' THEN 25 WHEN 'build' THEN 6 ELSE 150 END""")
+WHERE is_failure OR category NOT IN ('terminal', 'build', 'test', 'tool_call', 'tool_result', 'file_edit') OR nth <= 150""")
 def w2_head_n(spark, d):
     return compress.head_per_category(tool_events(spark, d)).select("event_id")
 
@@ -305,83 +318,30 @@ def _text_query(name: str, column: Callable, sql: str | None) -> None:
 
 
 _FLAT = _STRIP.format("content")
-_LINES = "string_split_regex(content, '\\r\\n|[\\n\\r\\x0B\\x0C]')"
-_BARE = r"regexp_replace(regexp_replace(y, '^[\x20\x09-\x0D　#]+', ''), '[\x20\x09-\x0D　#]+$', '')"
+_LINES = f"string_split_regex(content, '{X.LINE_ENDS}')"
+_BARE = _STRIP.format("regexp_replace(regexp_replace(" + _STRIP.format("y") + ", '^#+', ''), '#+$', '')")
 _FIRST_LINE = f"coalesce([x FOR x IN [{_BARE} FOR y IN {_LINES}] IF x <> ''][1], '')"
-_ERROR_LINES = f"[{_STRIP.format('y')} FOR y IN {_LINES}]"
-_ERROR = f"""coalesce([x FOR x IN {_ERROR_LINES} IF regexp_matches(x, '{X.STRONG_ERROR}')][1], [x FOR x IN {_ERROR_LINES} IF regexp_matches(x, '{X.WEAK_ERROR}')][1], '')"""
-_CELL = f"replace(regexp_replace(content, '\\r\\n|[\\n\\r\\x0B\\x0C]', ' ', 'g'), '|', '\\|')"
+_PLAIN = _STRIP.format(r"regexp_replace(y, '\x1b\[[0-9;]*[a-zA-Z]', '', 'g')")
+_ERROR_LINES = f"[x FOR x IN [{_PLAIN} FOR y IN {_LINES}] IF x <> '' AND NOT {matches('x', X.NOISE_LINE)}]"
+_ERROR = f"""coalesce({", ".join(f"[x FOR x IN {_ERROR_LINES} IF regexp_matches(lower(x), '{X.any_of(words)}')][1]" for words in (X.STRONG_ERRORS, X.WEAK_ERRORS))}, '')"""
+_CELL = "replace(replace(content, chr(10), ' '), '|', '\\|')"
 _WIDE = "length(regexp_replace(content, '[^一-鿿]', '', 'g'))"
 _text_query("x1_truncate", lambda c: X.truncate(c, 200), _CUT(_FLAT, 200))
-_text_query("x2_collapse", lambda c: F.sha1(X.collapse(c)), "sha1(" + _STRIP.format(r"regexp_replace(regexp_replace(content, '[\x20\x09　]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')") + ")")
-_text_query("x3_first_line", lambda c: X.first_line(c), _CUT(_STRIP.format(_FIRST_LINE), 160))
-_text_query("x4_tokens", lambda c: X.estimate_tokens(c), f"CAST({_WIDE} + CASE WHEN length(content) > {_WIDE} THEN greatest(1, (length(content) - {_WIDE}) // 4) ELSE 0 END AS BIGINT)")
-_text_query("x6_short_hash", lambda c: X.short_hash(c), "left(sha1(content), 8)")
-_text_query("x7_slug", lambda c: X.slug(c), r"left(regexp_replace(regexp_replace(lower(content), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60)")
-_text_query("sk10_safe_name", lambda c: X.safe_name(c), r"left(regexp_replace(content, '[^A-Za-z0-9_.-]', '_', 'g'), 120)")
-_text_query("x11_first_error_line", lambda c: X.first_error_line(c), _CUT(_STRIP.format(_ERROR), 160))
-_text_query("x14_first_sentence", lambda c: X.first_sentence(c), _CUT(_STRIP.format(_SENTENCE), 120))
+_text_query("x2_collapse", lambda c: F.sha1(X.collapse(c)), "sha1(" + _STRIP.format(r"regexp_replace(regexp_replace(content, '[\x20\x09　]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')").replace("{{3,}}", "{3,}") + ")")
+_text_query("x3_first_line", X.first_line, _CUT(_STRIP.format(_FIRST_LINE), 120))
+_text_query("x4_tokens", X.estimate_tokens, f"CAST({_WIDE} + CASE WHEN length(content) > {_WIDE} THEN greatest(1, (length(content) - {_WIDE}) // 4) ELSE 0 END AS BIGINT)")
+_text_query("x6_short_hash", X.short_hash, "left(sha1(content), 8)")
+_SLUG = r"""regexp_replace(regexp_replace(regexp_replace({}, '[ /\\:*?"<>|.\n\t]', '-', 'g'), '[^\p{{L}}\p{{N}}_-]', '', 'g'), '-{{2,}}', '-', 'g')"""
+_text_query("x7_slug", X.slug, f"coalesce(nullif(left(regexp_replace({_SLUG.format(_FLAT)}, '^-+|-+$', '', 'g'), 60), ''), 'item')")
+_text_query("sk10_safe_name", X.safe_name, r"left(regexp_replace(content, '[^\p{L}\p{N}_.-]', '_', 'g'), 120)")
+_text_query("x11_first_error_line", X.first_error_line, _CUT(_STRIP.format(_ERROR), 200))
+_text_query("x14_first_sentence", X.first_sentence, _CUT(_STRIP.format(_SENTENCE), 60))
 _text_query("x15_dedupe_key", lambda c: X.dedupe_key(c, 80), _KEY("content", 80))
-_text_query("x28_table_cell", lambda c: X.table_cell(c), f"CASE WHEN {_STRIP.format(_CELL)} = '' THEN '-' ELSE {_CUT(_STRIP.format(_CELL), 60)} END")
+_text_query("x28_table_cell", X.table_cell, f"CASE WHEN {_STRIP.format(_CELL)} = '' THEN '-' ELSE {_CUT(_STRIP.format(_CELL), 160)} END")
 _text_query("x36_clip", lambda c: X.clip(c, 80), f"""CASE WHEN length({_STRIP.format("replace(content, chr(10), ' ')")}) <= 80 THEN {_STRIP.format("replace(content, chr(10), ' ')")} ELSE left({_STRIP.format("replace(content, chr(10), ' ')")}, 79) || '…' END""")
-
-
-_FOUND = " UNION ALL ".join(
-    f"SELECT doc_id, '{k}' AS kind, '{s}' AS severity, unnest(regexp_extract_all(coalesce(text, ''), '{p.replace(chr(39), chr(39) * 2)}', {g})) AS value FROM documents" for k, (p, g, s) in redact.RULES.items()
-)
-_FINDINGS = f"""WITH a AS ({_FOUND}), f AS (SELECT * FROM a WHERE severity <> 'medium' OR (lower(value) NOT IN ({', '.join(f"'{w}'" for w in redact.HARMLESS)})
-AND (length(value) >= 12 OR regexp_matches(value, '[0-9]')))) """
-
-
-@query(_FINDINGS + "SELECT doc_id, kind, severity, value FROM f")
-def r4_secret_findings(spark, d):
-    return redact.findings(table(spark, d, "documents"), "doc_id")
-
-
-@query(_FINDINGS + "SELECT kind, severity, count(*) AS n FROM f GROUP BY ALL")
-def a18_findings_by_kind(spark, d):
-    return redact.findings(table(spark, d, "documents"), "doc_id").groupBy("kind", "severity").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(None)
-def r5_redacted_text(spark, d):
-    return redact.redact(table(spark, d, "documents"), "doc_id").select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
-
-
-_ISSUES = f"""WITH {T}, {_TAIL.replace('FROM t)', 'FROM resolved WHERE NOT resolved)').replace('tail AS', 'open AS')}, {_RESOLVED},
-i AS (SELECT session_id, 1 AS source, seq AS place, 'failed: ' || command AS what, 'high' AS priority FROM open
-UNION ALL SELECT session_id, 2, max(seq), 'interrupted', 'medium' FROM t WHERE event_type = 'signup' GROUP BY 1
-UNION ALL SELECT session_id, 3, place, 'repeated: ' || error, 'low' FROM (SELECT session_id, error, min(seq) AS place, row_number() OVER (PARTITION BY session_id ORDER BY min(seq)) AS nth
-  FROM t WHERE is_failure GROUP BY session_id, error HAVING count(*) >= 3) WHERE nth <= 2),
-o AS (SELECT session_id, left(what, 40) AS key, min_by(what, source * 1000000 + place) AS what, min_by(priority, source * 1000000 + place) AS priority, min(source * 1000000 + place) AS o FROM i GROUP BY ALL),
-n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY o) AS nth FROM o) """.replace(", resolved AS", ", resolved AS")
-
-
-def _reordered(sql: str) -> str:
-    """DuckDB reads common tables in order: `resolved` has to come before `open`."""
-    return sql.replace(f", {_RESOLVED}", "").replace(", open AS", f", {_RESOLVED}, open AS")
-
-
-@query(_reordered(_ISSUES) + "SELECT session_id, nth, what, priority FROM n WHERE nth <= 6")
-def d3_unresolved(spark, d):
-    return document.unresolved(tool_events(spark, d)).select("session_id", L("nth"), "what", "priority")
-
-
-@query(_reordered(_ISSUES) + """, a AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY nth) AS nth, 'rerun ' || substr(what, 9) AS action FROM n WHERE nth <= 6 AND what LIKE 'failed: %')
-SELECT * FROM a UNION ALL SELECT DISTINCT session_id, 1, 'review the session' FROM t WHERE session_id NOT IN (SELECT session_id FROM a)""")
-def d4_next_actions(spark, d):
-    e = tool_events(spark, d)
-    return document.next_actions(document.unresolved(e), e.select("session_id").distinct()).select("session_id", L("nth"), "action")
-
-
-@query(f"""WITH {T}, f AS (SELECT session_id, count(*) FILTER (is_failure) AS n_failures, count(*) FILTER (category = 'test') AS n_tests, count(*) FILTER (category = 'file_edit') AS n_edits, bool_or(event_type = 'signup') AS interrupted FROM t GROUP BY 1)
-SELECT session_id, concat_ws('; ', CASE WHEN n_edits > 0 AND n_tests = 0 THEN 'edits without tests' END, CASE WHEN n_failures >= 10 THEN 'many failures' END, CASE WHEN interrupted THEN 'interrupted' END,
-CASE WHEN n_tests > 0 AND n_failures > n_tests THEN 'more failures than tests' END) AS risks,
-CAST((n_edits > 0 AND n_tests = 0) AS BIGINT) + CAST(n_failures >= 10 AS BIGINT) + CAST(interrupted AS BIGINT) + CAST((n_tests > 0 AND n_failures > n_tests) AS BIGINT) AS n_risks FROM f""")
-def d5_risks(spark, d):
-    n = lambda c: F.count_if(F.expr(c))
-    facts = tool_events(spark, d).groupBy("session_id").agg(n("is_failure").alias("n_failures"), n("category = 'test'").alias("n_tests"), n("category = 'file_edit'").alias("n_edits"), F.bool_or(F.col("event_type") == "signup").alias("interrupted"))
-    return document.risks(facts)
+_text_query("x9_plain", X.strip_ansi, _STRIP.format(r"regexp_replace(content, '\x1b\[[0-9;]*[a-zA-Z]', '', 'g')"))
+_ARGUMENT = "translate(" + _STRIP.format(f"regexp_replace(content, '{X.SPACE}+', ' ', 'g')") + ", '%&|<>^\"`', '％＆｜＜＞＾''｀')"
+_text_query("x29_shell_argument", X.shell_argument, f"CASE WHEN length({_ARGUMENT}) <= 600 THEN {_ARGUMENT} ELSE left({_ARGUMENT}, 599) || '…' END")
 
 
 @query("""SELECT doc_id AS session_id, unnest(['lang', 'source', 'text']) AS "check", unnest([CASE WHEN trim(coalesce(lang, '')) IN ('', 'unknown') THEN 'error' ELSE 'ok' END,
@@ -438,17 +398,6 @@ def o9_block_packing(spark, d):
     return document.pack_blocks(m, 600)
 
 
-@query(None)
-def d1_memory_document(spark, d):
-    doc = document.memory_document(tool_events(spark, d), messages(spark, d))
-    return doc.select("session_id", F.to_json(F.struct("*")).alias("document"))
-
-
-@query(None)
-def g1_markdown(spark, d):
-    return document.as_markdown(document.memory_document(tool_events(spark, d), messages(spark, d)))
-
-
 @query("""SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)""")
 def j6_contains_join(spark, d):
     """Benchmark passages inside documents.  Documents are joined by their hashed four-word grams with words two to five
@@ -463,3 +412,6 @@ def j6_contains_join(spark, d):
     inside = F.contains("text", F.col("passage"))
     short = docs.join(b.filter("n < 6"), inside).select("doc_id", "item_id")
     return posted.join(keyed, "key").filter(inside).select("doc_id", "item_id").unionByName(short).distinct()
+
+
+from . import log_queries  # noqa: E402, F401  (adds the queries over logs)

@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-COMMANDS = ["pytest -q tests/", "mvn -q test ", "mvn package -pl m", "ruff check src/", "rg todo_", "git diff x", "npm run build ", "cat notes_", "cargo test t", "eslint src/"]
+COMMANDS = [
+    "pytest -q tests/", "python3 -m unittest discover", "mvn -q test -pl", "./gradlew :app:test", "yarn test --watch", "go test ./...", "cargo test", "dotnet test",
+    "cd web && npx jest", "mvn package -pl", "gradle assemble", "pnpm run build", "go build ./cmd", "tsc -p .", "vite build --mode x", "ruff check src/", "npm run lint",
+    "golangci-lint run", "rg -n todo", "git diff --quiet", "which tool", "git diff", "mypytest latest", "cat notes",
+]
 CATEGORIES = ["terminal", "test", "build", "file_read", "file_edit"]
 TOOLS = {"click": "shell", "view": "read", "purchase": "edit", "signup": "todo", "error": "browser"}
 
@@ -21,6 +25,11 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content"), F.concat("role", F.lit("_message")).alias("type"))
 
 
+def messages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns: conv_id, turn, role, text (never null)."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per event: a user's events in order of time, with a command, category, path and outcome made from its fields."""
     k = F.regexp_extract("props", '"k": *([0-9]+)', 1).cast("int")
@@ -33,7 +42,7 @@ def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             "*",
             F.concat(F.lit("cmd_"), F.col("k").cast("string")).alias("command"),
-            F.concat(at(COMMANDS, 10), F.col("k").cast("string")).alias("full_command"),
+            F.concat(at(COMMANDS, len(COMMANDS)), F.lit(" "), F.col("k").cast("string")).alias("full_command"),
             at(CATEGORIES, 5).alias("category"),
             failed.alias("is_failure"),
             F.when(failed, 1).otherwise(0).alias("exit_code"),
@@ -56,7 +65,7 @@ TOOL_SQL = f"""t0 AS (
          CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq
   FROM events),
 t AS (
-  SELECT *, 'cmd_' || k AS command, {_LIST(COMMANDS)}[k % 10 + 1] || k AS full_command, {_LIST(CATEGORIES)}[k % 5 + 1] AS category,
+  SELECT *, 'cmd_' || k AS command, {_LIST(COMMANDS)}[k % {len(COMMANDS)} + 1] || ' ' || k AS full_command, {_LIST(CATEGORIES)}[k % 5 + 1] AS category,
          event_type = 'error' AS is_failure, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS exit_code,
          'src/file_' || (k % 25) || '.py' AS path, k AS added, k % 7 AS removed,
          CASE WHEN k % 3 > 0 THEN event_type END AS status,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -30,10 +31,34 @@ def values_of(text: str) -> Iterator[tuple[str | None, bool]]:
         yield (json.dumps(value, ensure_ascii=False) if good else None), not good
 
 
-def read_json_log(spark: SparkSession, path: str, max_bytes: int | None = None, pattern: str = "*.jsonl") -> DataFrame:
-    """path, seq, record (a JSON object as text, for parse_json), is_error; one task reads a whole file.
+def log_files(spark: SparkSession, path: str | list[str], pattern: str = "*.jsonl") -> DataFrame:
+    """The files of a format below the paths, without their contents: path, modified, size, name, session key, archived."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    stem = F.regexp_replace(name, r"\.jsonl$", "")
+    key = F.nullif(F.regexp_extract(name, r"^rollout-.*?([0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})\.jsonl$", 1), F.lit(""))
+    return files.select(
+        "path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), name.alias("name"), F.coalesce(key, stem).alias("session_id"),
+        F.contains("path", F.lit("/archived_sessions/")).alias("archived"),
+    )
+
+
+def newest_first(listing: DataFrame, limit: int | None = None) -> DataFrame:
+    """Sessions by their last change, before anything of them is read."""
+    ordered = listing.orderBy(F.desc("modified"), "path")
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def find_session(listing: DataFrame, wanted: str) -> DataFrame:
+    """The file of a session: that named so, else the first whose name contains it, by path."""
+    rank = F.when(F.col("session_id") == wanted, 0).when(F.contains("name", F.lit(wanted)), 1)
+    return listing.withColumn("rank", rank).filter("rank is not null").orderBy("rank", "path").limit(1).drop("rank")
 
-    max_bytes reads only the start of each file, for listings.  Unreadable records stay as marked rows.
+
+def read_json_log(spark: SparkSession, path: str | list[str], max_bytes: int | None = None, pattern: str = "*.jsonl") -> DataFrame:
+    """path, seq, record (a JSON object as text, for parse_json), is_error; one task reads a whole file and yields it in parts.
+
+    max_bytes keeps only the start of each file, for listings.  Unreadable records stay as marked rows.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     content = F.col("content") if max_bytes is None else F.substring("content", 1, max_bytes)
@@ -41,31 +66,23 @@ def read_json_log(spark: SparkSession, path: str, max_bytes: int | None = None,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, data in zip(batch["path"], batch["content"]):
-                rows = [(file, i, record, bad) for i, (record, bad) in enumerate(values_of(bytes(data).decode("utf-8", "replace")))]
-                for at in range(0, len(rows), 5000):
-                    yield pd.DataFrame(rows[at : at + 5000], columns=["path", "seq", "record", "is_error"])
+                values = values_of(bytes(data).decode("utf-8", "replace"))
+                rows = ((file, i, record, bad) for i, (record, bad) in enumerate(values))
+                while part := list(islice(rows, 5000)):
+                    yield pd.DataFrame(part, columns=["path", "seq", "record", "is_error"])
 
     return files.select("path", content.alias("content")).mapInPandas(run, SCHEMA)
 
 
-def call_log_events(records: DataFrame) -> DataFrame:
-    """Records of a call log as events: path, seq, ts, type, call_id, tool_name, command, content, is_failure."""
-    r = records.filter("not is_error").withColumn("v", F.try_parse_json("record"))
-    get = lambda p, t="string": F.try_variant_get("v", p, t)
-    args = F.try_parse_json(get("$.arguments"))
-    arg = lambda name: F.nullif(F.trim(F.try_variant_get(args, f"$.{name}", "string")), F.lit(""))
-    kind = get("$.type")
-    status = F.coalesce(get("$.status"), F.lit(""))
-    role = get("$.role")
-    event = F.when(kind == "message", F.concat(role, F.lit("_message"))).when(kind == "reasoning", "reasoning").when(kind == "function_call", "tool_call").when(kind == "function_call_result", "tool_result")
-    return r.select(
-        "path",
-        "seq",
-        F.timestamp_millis(get("$.timestamp", "long")).alias("ts"),
-        event.alias("type"),
-        F.coalesce(get("$.callId"), get("$.id")).alias("call_id"),
-        get("$.name").alias("tool_name"),
-        F.coalesce(arg("cmd"), arg("command"), arg("script")).alias("command"),
-        F.coalesce(get("$.content[0].text"), get("$.output[0].text"), get("$.output")).alias("content"),
-        ((kind == "function_call_result") & ~status.isin("", "completed", "success", "ok")).alias("is_failure"),
-    ).filter("type is not null")
+def records_by_session(records: DataFrame, files: DataFrame) -> DataFrame:
+    """read_json_log's rows as the parsers take them: session_id, seq, record, is_error, with the session that the file is named after."""
+    named = files.select("path", "session_id")
+    return records.join(F.broadcast(named) if files.isLocal() else named, "path").select("session_id", "seq", "record", "is_error")
+
+
+def listing(files: DataFrame, sessions: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """The files with what their sessions say; the number of records and of user messages are null, not 0, unless they were counted."""
+    rows = files.join(sessions, "session_id", "left")
+    if counts is None:
+        return rows.select("*", F.lit(None).cast("long").alias("n_records"), F.lit(None).cast("long").alias("n_user"))
+    return rows.join(counts.select("session_id", "n_records", "n_user"), "session_id", "left")

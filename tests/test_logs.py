@@ -321,7 +321,59 @@ def test_ids_and_ledger(spark):
     from threadloom.operators import revise
 
     ids = revise.next_ids(spark.createDataFrame([("b",), ("a",)], "name string"), spark.createDataFrame([("mem_20260301_007",), ("mem_20260228_100",)], "id string"), "20260301", "name")
-    assert sorted((r["name"], r["id"]) for r in ids.collect()) == [("a", "mem_20260301_008"), ("b", "mem_20260301_009")]
+    rows = ids.collect()
+    assert {r["name"] for r in rows} == {"a", "b"} and {r["id"] for r in rows} == {"mem_20260301_008", "mem_20260301_009"}
     steps = [(1, 1, "init"), (1, 2, "parse"), (1, 3, "failed"), (1, 4, "init"), (2, 1, "parse"), (2, 2, "init"), (2, 3, "done")]
     found = revise.illegal_steps(spark.createDataFrame(steps, "run_id int, seq int, state string"), ["init", "parse", "done"], ["failed"]).collect()
     assert [tuple(r) for r in found] == [(2, 2, "parse", "init")]
+
+
+def test_contexts_and_listings(spark, document, normal):
+    from threadloom.operators import revise
+
+    doc, project = document
+    full = revise.inline_context(doc, "memory.md").first()["context"]
+    assert full.index("## 任务") < full.index("## 已尝试且失败的方案（不要重复）") < full.index("## 下一步") < full.index("## 已完成") and "`memory.md`" in full and len(full) <= 2600
+    small = revise.inline_context(doc, "memory.md", 420).first()["context"]
+    assert "## 任务" in small and "## 已尝试且失败的方案（不要重复）" not in small and len(small) <= 420
+    sessions = spark.createDataFrame([("s", "codex")], "session_id string, agent string")
+    prompt = revise.prompt_text(compress.bundles(normal), sessions, project, 40).first()["prompt"]
+    assert "- Session：s" in prompt and "[03-01 10:00] META" in prompt and "BUILD" not in prompt
+    b = revise.brief(doc).first()
+    assert (b["status"], b["n_attempts"], b["n_failed"], b["n_tests"], b["n_files"]) == ("in_progress", 3, 2, 2, 1)
+    assert revise.with_sections(doc, conversation=False, risks=True).first()["conversation"] is None
+
+
+def test_store(spark, document, tmp_path):
+    from threadloom.operators import revise
+    from threadloom.sources import store
+
+    doc, _ = document
+    key = "sk-" + "abcdefghij" * 3
+    rows = spark.createDataFrame([("a", "s/1", n, json.dumps({"k": key, "n": n}), False) for n in range(5)] + [("b", "s", 0, None, True)], "agent string, session_id string, seq long, record string, is_error boolean")
+    store.save_snapshot(rows, str(tmp_path / "raw"))
+    back = store.snapshot(spark, str(tmp_path / "raw"), 3)
+    assert back.count() == 4 and {r["session_id"] for r in back.collect()} == {"s_1", "s"} and not back.filter(F.contains("record", F.lit(key))).count()
+    made = doc.join(revise.as_markdown(doc), "session_id").withColumns({"memory_id": F.lit("mem_20260301_001"), "created": F.lit("2026-03-01").cast("timestamp")})
+    store.save_documents(made, str(tmp_path / "docs"))
+    listed = store.catalogue(spark, str(tmp_path / "docs")).first()
+    assert listed["memory_id"] == "mem_20260301_001" and listed["size"] > 500
+    found = store.document(spark, str(tmp_path / "docs"), "mem_20260301_001").first()
+    assert json.loads(found["document"])["task"]["status"] == "in_progress" and found["markdown"].startswith("# ")
+    assert store.document(spark, str(tmp_path / "docs"), "none").count() == 0
+    at = lambda s: F.lit(s).cast("timestamp")
+    steps = spark.createDataFrame([(1, 1, "init"), (1, 2, "done"), (2, 1, "failed")], "run_id int, seq int, state string")
+    store.save_ledger(steps.withColumns({"started": at("2026-03-01 10:00:00"), "ended": at("2026-03-01 10:00:02"), "detail": F.lit("")}), str(tmp_path / "ledger"))
+    assert sorted((r["run_id"], r["state"], r["duration_ms"]) for r in store.ledger(spark, str(tmp_path / "ledger")).collect()) == [(1, "done", 4000), (2, "failed", 2000)]
+
+
+def test_texts_and_status(spark, tmp_path):
+    from threadloom.sources import store
+
+    for name, data in {"u": "é中".encode(), "b": b"\xef\xbb\xbfx", "g": "中文".encode("gbk"), "l": b"\xff\xff\x80"}.items():
+        (tmp_path / f"{name}.txt").write_bytes(data)
+    got = {r["path"][-5]: r["text"] for r in store.read_texts(spark, str(tmp_path)).collect()}
+    assert got == {"u": "é中", "b": "x", "g": "中文", "l": "\xff\xff\x80"}
+    status = ' M src/a.py\nR  old.py -> "new name.py"\n?? extra.txt\n\n'
+    df = spark.createDataFrame([(status,)], "t string")
+    assert [tuple(x) for x in df.select(store.status_lines(F.col("t")).alias("s")).first()["s"]] == [(" M", "src/a.py", False), ("R ", "new name.py", False), ("??", "extra.txt", True)]

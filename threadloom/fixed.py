@@ -203,6 +203,8 @@ RENDER = {
     "no_tests": "- 测试：未检测到测试命令执行记录", "no_open": "（无已知未解决问题）", "no_next": "（无待办，请先与用户确认任务是否已闭环）",
     "files_head": "| 文件 | 状态 | 说明 |\n| --- | --- | --- |\n", "failed_head": "| # | 动作 | 结果 | 报错 | 经验 |\n| --- | --- | --- | --- | --- |\n",
     "tests_head": "| 命令 | 结果 | 输出摘要 |\n| --- | --- | --- |\n", "order": "真实文件系统 > Git 状态 > 运行时状态 > 本 Memory > 会话摘要",
+    "context_head": "<!-- task-context:begin -->\n# 接续任务上下文\n\n本项目存在一个**进行中的开发任务**，**不要重新分析已经完成的工作，也不要重复已经失败的方案**。\n",
+    "context_tail": "完整记忆见 `{}`，需要细节时请自行读取。\n\n如本段描述与当前代码或 Git 状态冲突，**以真实文件与 Git 为准**。\n<!-- task-context:end -->",
     "read": "请先读取 {}，理解任务当前状态，然后继续执行。",
     "rules": "1. **不要重新分析或重做已经完成的工作**\n2. **不要重复已经失败的方案**\n3. 先核对真实代码与 Git 状态，再动手\n4. 从「下一步行动」开始推进",
 }

@@ -406,12 +406,15 @@ def j6_contains_join(spark, d):
     b = table(spark, d, "benchmark").filter("text is not null").select("item_id", F.col("text").alias("passage"), F.size(words(F.col("text"))).alias("n"))
     head = F.array_join(F.slice(words(F.col("passage")), 2, 4), " ")
     keyed = b.filter("n >= 6").withColumn("key", F.xxhash64(head))
-    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", "text", words(F.col("text")).alias("w"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 3)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 4), " "))))
-    posted = docs.select("doc_id", "text", F.explode(grams).alias("key"))
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", "text")
+    w = words(F.col("text"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 3)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 4), " "))))
+    posted = docs.select(F.col("doc_id").alias("id"), F.explode(grams).alias("key"))  # ids and hashes alone are shuffled
+    pairs = posted.join(keyed.select("item_id", "key"), "key").select("id", "item_id").distinct()
     inside = F.contains("text", F.col("passage"))
-    short = docs.join(b.filter("n < 6"), inside).select("doc_id", "item_id")
-    return posted.join(keyed, "key").filter(inside).select("doc_id", "item_id").unionByName(short).distinct()
+    found = docs.join(pairs, F.col("doc_id").eqNullSafe(F.col("id"))).join(keyed.select("item_id", "passage"), "item_id").filter(inside)
+    short = docs.join(b.filter("n < 6"), inside)
+    return found.select("doc_id", "item_id").unionByName(short.select("doc_id", "item_id")).distinct()
 
 
 from . import log_queries  # noqa: E402, F401  (adds the queries over logs)

@@ -12,7 +12,7 @@ COMMANDS = [
     "golangci-lint run", "rg -n todo", "git diff --quiet", "which tool", "git diff", "mypytest latest", "cat notes",
 ]
 CATEGORIES = ["terminal", "test", "build", "file_read", "file_edit"]
-TOOLS = {"click": "shell", "view": "read", "purchase": "edit", "signup": "todo", "error": "browser"}
+TOOLS = {"click": "shell", "view": "read", "purchase": "edit", "signup": "todo_write", "error": "browser"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -190,12 +190,131 @@ def test_quality(spark):
     assert {x["score"] for x in quality.score_quality(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_word_vectors_are_sums_of_neighbours(spark):
+    texts = ["a b c a", "b b", "", "x" * 100 + " a"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    size = (1 << quality.WORD_BITS) + (1 << quality.SHAPE_BITS)
+    index, places = quality.index_vectors(0, size), quality.Places()
+    want = np.zeros((size, quality.DIMENSIONS))
+    for t in texts:
+        ps = [places.of(w) for w in t.split()]
+        for i in range(len(ps)):
+            for j in range(max(0, i - quality.WINDOW), min(len(ps), i + quality.WINDOW + 1)):
+                if j != i:
+                    for p in ps[i]:
+                        want[p] += index[ps[j][0]] + index[ps[j][1]]
+    got = np.zeros_like(want)
+    for r in quality.context_sums(df).collect():
+        got[r["place"]] = r["vector"]
+    assert (got == want).all() and (np.abs(index).sum(axis=1) <= quality.NONZERO).all()
+
+
+def test_document_features_and_network():
+    vectors = np.random.default_rng(3).normal(size=((1 << quality.WORD_BITS) + (1 << quality.SHAPE_BITS), quality.DIMENSIONS)).astype(np.float32)
+    text = "One two two three one two " + "Wörd9-" * 3
+    words, places = text.split(), quality.Places()
+    row = quality.Pooler(vectors).features([text, ""])
+    pairs = [places.of(w) for w in words]
+    d = quality.DIMENSIONS
+    assert np.allclose(row[0, :d], vectors[[p for p, _ in pairs]].mean(axis=0), atol=1e-5) and np.allclose(row[0, d:-2], vectors[[q for _, q in pairs]].mean(axis=0), atol=1e-5)
+    assert np.isclose(row[0, -2], 1 - len(set(zip(words, words[1:]))) / (len(words) - 1)) and np.isclose(row[0, -1], 1 - len(set(words)) / len(words)) and not row[1].any()
+    assert quality.shape_of("Ab12--x") == "Aa0-a" and quality.shape_of("a-b.c_d:e;f,g!h?i") != quality.shape_of("a-b.c_d:e;f,g!h?j.k")
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 3))
+    y = (x[:, 0] * x[:, 1] + 0.1 * rng.normal(size=600) > 0).astype(float)  # no line separates these
+    net = quality.Network(x[:400], y[:400], np.arange(400) % 5 == 0)
+    p = np.clip(net.probability(x[400:]), 1e-9, 1 - 1e-9)
+    loss = -np.mean(np.where(y[400:] == 1, np.log(p), np.log(1 - p)))
+    assert net.temperature >= 1 and ((p > 0.5) == y[400:]).mean() > 0.75 and loss < 0.69
+    few = quality.Network(x[:40], (x[:40, 0] > 0).astype(float), np.arange(40) % 5 == 0)
+    p = np.clip(few.probability(x), 1e-9, 1 - 1e-9)
+    assert -np.mean(np.where(x[:, 0] > 0, np.log(p), np.log(1 - p))) < 0.69
+
+
+def test_repeated_labels_and_rows(spark):
+    docs = docs_of(spark, ["good text here", "good text here", None, "bad!!! bad!!!"])
+    docs = docs.union(docs)
+    labels = spark.createDataFrame([(0, 1), (0, 0), (1, 1), (3, 0), (None, 1), (2, None), (9, 5)], "doc_id long, quality int")
+    rows = quality.score_quality(docs, labels).collect()
+    assert len(rows) == 8 and len({(r["doc_id"], r["score"]) for r in rows}) == 4 and set(docs.columns) <= set(rows[0].asDict())
+
+
+def test_least_slack():
+    r = random.Random(8)
+    for _ in range(300):
+        counts = [0] + [r.choice([0, 0, 1, 2, 3]) for _ in range(r.randint(1, 9))]
+        room = r.randint(1, 24)
+        sums = {0}
+        for n, k in enumerate(counts):
+            sums = {s + n * j for s in sums for j in range(k + 1) if s + n * j <= room}
+        chosen = packing.least_slack(counts, room)
+        assert sum(n * k for n, k in chosen.items()) == max(sums) and all(0 < k <= counts[n] for n, k in chosen.items())
+
+
+#: Words that the models don't know, in four languages, and how identifiers are made of them.
+OTHERS = "frequency keyboard gradient marriage | zeitplan verteilung schluessel geschwindigkeit | longueur fournisseur plusieurs voiture | ejemplo cuaderno biblioteca cosecha"
+
+
+def test_models_on_other_strings(spark):
+    r = random.Random(21)
+    words = [w for part in OTHERS.split(" | ") for w in part.split()]
+    styles = [lambda w: "_".join(w), lambda w: "-".join(w), lambda w: w[0] + "".join(x.title() for x in w[1:]), lambda w: "_".join(w).upper(), lambda w: "/".join(w)]
+    ordinary = [r.choice(styles)([r.choice(words) for _ in range(r.randint(2, 4))]) for _ in range(400)]
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    keys = ["".join(r.choice(letters + more) for _ in range(r.choice([24, 32, 40, 64]))) for more in ("", "+/", "-_") for _ in range(130)]
+    rows = [(0, x) for x in ordinary if len(x) >= 16] + [(1, k) for k in keys]
+    df = spark.createDataFrame(rows, "secret int, text string")
+    found = secret_scan.scan_secrets(df).select("secret", (F.size("spans") > 0).alias("hit")).groupBy("secret").agg(F.count_if("hit").alias("n"), F.count(F.lit(1)).alias("all")).collect()
+    n = {x["secret"]: (x["n"], x["all"]) for x in found}
+    precision, recall = n[1][0] / max(1, n[1][0] + n[0][0]), n[1][0] / n[1][1]
+    assert precision >= 0.99 and recall >= 0.95, (precision, recall)
+
+
 def test_empty_tables(spark):
     empty = docs_of(spark, ["x"]).filter("doc_id < 0")
-    for run in (exact_dedup.exact_duplicates, simhash.near_duplicates, passages.remove_repeats, secret_scan.scan_secrets):
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    word, byte = (public_tokenizers.path(f) for f in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    for run in (
+        exact_dedup.exact_duplicates, simhash.near_duplicates, passages.remove_repeats, secret_scan.scan_secrets, lambda d: quality.score_quality(d, labels),
+        lambda d: packing.pack_documents(d, word), lambda d: bpe.encode_decode(d, byte),
+    ):
         assert run(empty).count() == 0
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert urls.filter_urls(pages).count() == 0
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.conversation_digest(chat.prefix_target_examples(turns)).count() == 0
+
+
+def test_repeated_rows_and_null_ids(spark):
+    long = "a passage of many words that is well over fifty bytes long and stands twice "
+    rows = [(1, long), (1, long), (None, long), (2, long + "x"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = sorted((r["doc_id"] or 99, r["n_removed"]) for r in passages.repeats_digest(passages.remove_repeats(df)).collect())
+    assert got == [(1, 0), (1, 0), (2, len(long)), (99, 0), (99, len(long))]
+    exact = exact_dedup.exact_duplicates(df).collect()
+    assert sorted((r["doc_id"] or 99, r["keep_id"] or 99, r["group_size"]) for r in exact) == [(1, 1, 3), (1, 1, 3), (2, 2, 1), (99, 1, 3), (99, 99, 1)] and sum(r["kept"] for r in exact) == 3
+    near = simhash.near_duplicates(df).collect()
+    assert len(near) == 5 and {r["component_id"] for r in near if r["doc_id"] == 1} == {1}
+    word, byte = (public_tokenizers.path(f) for f in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    assert bpe.encode_decode(df, byte).count() == 5 and len({r["doc_id"] for r in packing.pack_documents(df, word).collect()}) == 3
+
+
+def test_neighbours_with_ties(spark):
+    r = np.random.default_rng(2)
+    centre = r.normal(size=12)
+    m = np.vstack([centre + 0.01 * r.normal(size=(500, 12)), r.normal(size=(700, 12)), np.repeat(r.normal(size=(1, 12)), 300, axis=0)])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    for exact, least in ((False, 0.9), (True, 1.0)):
+        got = {}
+        for x in permutation_index.nearest_neighbours(df, exact=exact).collect():
+            got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"]))
+        hit = 0
+        for q in range(0, len(m), 20):
+            s = (m * m[q]).sum(1)
+            s[q] = -9
+            hit += len({v for _, v in got[q]} & set(np.lexsort((np.arange(len(m)), -s))[:20].tolist()))
+        assert hit >= least * 20 * len(got), (exact, hit / 20 / len(got))
 
 
 def test_urls(spark):
@@ -215,3 +334,70 @@ def test_chat_round_trip(spark):
         own = [(r[2], r[3] or "") for r in rows if r[0] == conv]
         assert got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in own).encode()).hexdigest()
         assert got[conv]["loss_sha256"] == hashlib.sha256("".join(b for a, b in own if a == "assistant").encode()).hexdigest()
+
+
+def test_url_tree(spark):
+    """The branches and purities against a plain version, on paths of many depths."""
+    r = random.Random(6)
+    segments = ["news", "de", "fr", "es", "en", "a1b2c3d4e5f60708", "42", "7-x", "a-very-long-slug-of-words"]
+    rows = [(i, "https://%s/%s" % (r.choice(["a.com", "b.com", "c.net", "x.org", "example.org"]), "/".join(r.choice(segments) for _ in range(r.choice([0, 1, 2, 3, 9]))))) for i in range(400)]
+    rows += [(400, "http://deep.net/" + "/".join("s" for _ in range(60))), (401, None), (402, "nothing"), (403, rows[0][1])]
+    pages = spark.createDataFrame([(i, u, "b", 1.0, "t") for i, u in rows], "page_id long, url string, branch string, purity double, template string")
+    got = {x["page_id"]: x for x in urls.filter_urls(pages).collect()}
+
+    def judge(host, path):
+        fits = [(len(h + p), v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    def general(s):
+        return "{v}" if len(s) > 40 or s.count("-") >= 3 else re.sub("[0-9]+", "{n}", re.sub("[0-9a-f]{12,}", "{h}", s))
+
+    parts, counts = {}, {}
+    for i, u in rows:
+        m = re.search("://([^/?#]*)([^?#]*)", u or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        template = tuple(general(s) for s in path.split("/") if s)
+        parts[i] = host, path, template
+        label = {"block": 1, "allow": 0}.get(judge(host, path))
+        c = counts.setdefault((host, template), [0, 0])
+        if label is not None:
+            c[0] += 1
+            c[1] += label
+    node, hosts, ends, overall = {}, {}, {}, [0, 0]
+    for (host, t), (n, b) in counts.items():
+        for level in range(len(t) + 1):
+            c = node.setdefault((host, t[:level]), [0, 0])
+            c[0] += n
+            c[1] += b
+        for c in (hosts.setdefault(host, [0, 0]), overall):
+            c[0] += n
+            c[1] += b
+    prior = (overall[1] + 1) / (overall[0] + 2)
+
+    def branch(host, t):
+        out = []
+        for level in range(1, len(t) + 1):
+            (n, b), (pn, pb) = node[host, t[:level]], node[host, t[: level - 1]]
+            p = (pb + 1) / (pn + 2)
+            out.append(t[level - 1] if abs(b - n * p) > 1.96 * (n * p * (1 - p)) ** 0.5 else "*")
+        return "/".join(out)
+
+    for (host, t), (n, b) in counts.items():
+        c = ends.setdefault((host, branch(host, t)), [0, 0])
+        c[0] += n
+        c[1] += b
+    assert len(got) == len(rows)
+    for i, (host, path, t) in parts.items():
+        n, b = ends[host, branch(host, t)]
+        purity = (b + 2 * (hosts[host][1] + 2 * prior) / (hosts[host][0] + 2)) / (n + 2)
+        assert got[i]["branch"] == branch(host, t) and abs(got[i]["purity"] - purity) < 1e-12
+        assert got[i]["verdict"] == (judge(host, path) or ("block" if purity >= 0.5 else "allow"))
+    assert "*" in {got[i]["branch"].split("/")[0] for i in parts} and len({got[i]["verdict"] for i in parts if got[i]["rule"] is None}) == 2
+
+
+def test_long_conversation_with_clashing_columns(spark):
+    rows = [(1, n, "assistant" if n % 2 else "user", f"turn {n} " * 5, "x", 1, "w") for n in range(300)] + [(2, 0, "assistant", "b" * 100_000, "x", 1, "w")] * 2
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, whole string, total int, ts string")
+    got = {r["conv_id"]: r for r in chat.conversation_digest(chat.prefix_target_examples(turns)).collect()}
+    assert got[1]["n_turns"] == 300 and got[2]["n_turns"] == 2 and got[2]["loss_chars"] == 200_000
+    assert got[1]["loss_sha256"] == hashlib.sha256("".join(r[3] for r in rows[:300] if r[2] == "assistant").encode()).hexdigest()

@@ -23,7 +23,7 @@ CAPACITY = 2048
 END_ID = 1
 #: Tokens whose pieces are held at once, and distinct chunks and pieces of text whose ids a task keeps.
 HELD = 1_000_000
-KEPT = 300_000
+KEPT = 600_000
 
 
 #: Texts of these characters alone are split here as the vocabulary's own pre-tokenizer splits them.
@@ -205,7 +205,7 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACI
     """Per piece of docs(doc_id, text): doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
     ids are the piece's token ids as little-endian unsigned 32-bit integers.  A document is its text's ids and END_ID;
-    a null or empty text is END_ID alone.  Every id lies in one piece, and the pieces of a sequence fill it without a
+    a null or empty text is END_ID alone, and a text of any length is cut into as many pieces as it takes.  Every id lies in one piece, and the pieces of a sequence fill it without a
     gap: to capacity, or to a power of two below it at a partition's end.  Repeated rows are packed as often as they
     occur.  Other columns are ignored.  An empty table gives no piece.  The result depends on how docs is partitioned.
     """

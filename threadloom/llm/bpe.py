@@ -147,7 +147,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, ids (array of int), decoded.
 
     ids are what the tokenizers library gives for the whole text, control strings of the vocabulary included, without
-    special tokens added; decoded is made from the ids.  Null and empty texts give no ids and an empty text.  Repeated
+    special tokens added; decoded is made from the ids.  Texts of any length are encoded whole.  Null and empty texts give no ids and an empty text.  Repeated
     rows stay, other columns are ignored, an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)

@@ -38,7 +38,8 @@ def prefix_target_examples(turns: DataFrame) -> DataFrame:
     formatted holds the preceding turns and this one; the code points loss_start..loss_end (from 0, end exclusive) are
     trainable.  is_last marks the example that holds the whole conversation; it has an empty loss where it closes
     turns without a reply.  Turns are ordered by turn, then role and text; repeated rows stay.  Null texts and roles
-    are empty, rows without a conv_id form one conversation.  Other columns are ignored.
+    are empty, rows without a conv_id form one conversation.  Other columns are ignored.  Texts of any length are written
+    whole; a conversation is one row until its examples are cut out of it.  An empty table gives an empty result.
     """
     turn = turns.select(
         "conv_id",

@@ -117,7 +117,7 @@ def text_identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """Per row of docs(doc_id, text, ...): doc_id, keep_id, group_size, kept, text_sha256.
 
-    Texts are compared without the characters of WHITE; a null text is an empty one.  Of equal texts the row with the
+    Texts are compared without the characters of WHITE, whole and block by block; a null text is an empty one.  Of equal texts the row with the
     most code points stays, then the smallest doc_id (a null doc_id last), then the first row.  Repeated rows form one
     group like any others.  Other columns are ignored.  An empty table gives an empty result.
     """

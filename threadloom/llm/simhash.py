@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, k
 
     Texts are compared in ASCII lower case by shingles of `words` words; component_id is the smallest doc_id of all
     that are reachable over links of at most 2 * radius differing bits.  Null, empty and blank texts have fingerprint
-    zero and link like any others.  Equal texts, repeated rows and rows with a null doc_id stay, each with its
+    zero and link like any others; of a long text every shingle counts.  Equal texts, repeated rows and rows with a null doc_id stay, each with its
     component (the smallest doc_id that isn't null).  Other columns are ignored.  An empty table gives an empty result.
     """
     rows = save(fingerprints(docs, words, keep), "fingerprints")

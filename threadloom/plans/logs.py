@@ -66,16 +66,18 @@ def rollout_records(spark: SparkSession, d: str) -> DataFrame:
     block = F.array(_json(type="text", text=F.col("text")))
     said = _rows(turns, F.col("conv_id"), F.col("turn") + 1, wrap("response_item", _json(type="message", role=role, content=block), _spoken(), F.col("turn") + 1))
     at = F.col("seq") * 10 + FIRST
-    asked = calls.filter("event_type != 'signup'")
     name = F.element_at(F.array(*[F.lit(n) for n in NAMES]), F.col("k") % 5 + 1)
     args = F.when(F.col("cmd").isNotNull(), F.to_json(F.struct("cmd"))).otherwise(F.to_json(F.struct("path")))
     call = wrap("response_item", _json(type="function_call", name=name, arguments=args, call_id=F.col("call")), _stamp(F.col("ts")), at)
     out = wrap("response_item", _json(type="function_call_output", call_id=F.col("call"), output=F.col("said")), _stamp(F.col("ts")), at + 1)
-    k, notes = F.col("k"), calls.filter("event_type = 'signup'")
+    k = F.col("k")
     kind = F.when(k < 3, "turn_aborted").when(k >= 97, "task_complete").otherwise("token_count")
     note = _json(type=kind, reason=F.when(k < 3, F.concat(F.lit("user "), k.cast("string"))), last_agent_message=F.when(k >= 97, F.concat(F.lit("finished step "), k.cast("string"))))
-    noted = _rows(notes, F.col("sid"), at, wrap("event_msg", note, _stamp(F.col("ts")), at))
-    return first.unionByName(said).unionByName(_rows(asked, F.col("sid"), at, call)).unionByName(_rows(asked, F.col("sid"), at + 1, out)).unionByName(noted)
+    noted = wrap("event_msg", note, _stamp(F.col("ts")), at)
+    one = lambda seq, record: F.struct(seq.cast("long").alias("seq"), _text(record).alias("record"))
+    made = F.when(F.col("event_type") == "signup", F.array(one(at, noted))).otherwise(F.array(one(at, call), one(at + 1, out)))
+    tools = calls.select(F.col("sid").alias("session_id"), F.inline(made)).withColumn("is_error", F.lit(False))
+    return first.unionByName(said).unionByName(tools)
 
 
 def project_records(spark: SparkSession, d: str) -> DataFrame:

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, packing, passages, permutation_index, quality, secret_scan, simhash, urls
-from .common import table
+from . import bpe, chat, conversation_repair, exact_dedup, jaccard_join, packing, passages, permutation_index, quality, secret_scan, simhash, source_audit, urls
+from .common import save, table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,19 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digest(chat.prefix_target_examples(turns.unionByName(extra)))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergence_audit(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_audit(save(conversation_repair.damage(turns), "damaged"), turns)
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
@@ -67,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_bpe": op9_bpe,
     "op10_chat_format": op10_chat_format,
+    "op11_source_audit": op11_source_audit,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
@@ -138,3 +154,84 @@ SELECT page_id, host, path, rule,
        CASE WHEN coalesce(label, (purity >= {urls.REJECT_FROM}::DOUBLE)::INT) = 1 THEN 'block' ELSE 'allow' END AS verdict
 FROM j JOIN tree USING (host, template) JOIN ends USING (host, branch)
 """
+
+#: Terms, kept terms, shares of groups (p) and languages (q), both by way of every kept term for every group.
+ORACLE_SQL["op11_source_audit"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{80}-\x{10FFFF}]+') AS terms
+  FROM documents),
+t AS (SELECT row, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+groups AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+own AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+full_ AS (SELECT lang, source, term, coalesce(own.n, 0) AS n, kept.n AS n_lang FROM groups JOIN kept USING (lang) LEFT JOIN own USING (lang, source, term)),
+totals AS (SELECT lang, source, sum(n) AS total FROM full_ GROUP BY lang, source),
+p AS (
+  SELECT lang, source, term, f.n,
+         1 + (1000000000::HUGEINT * (f.n + 5)) // (totals.total + 5 * v) AS p, 1 + (1000000000::HUGEINT * (n_lang + 5)) // (v.total + 5 * v) AS q
+  FROM full_ f JOIN totals USING (lang, source) JOIN v USING (lang)),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(any_value(x.value), 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT a.lang, a.source AS sa, b.source AS sb, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term
+    GROUP BY ALL) x ON x.lang = a.lang AND x.sa = a.source AND x.sb = b.source
+  GROUP BY ALL),
+term AS (SELECT lang, source, 'term' AS part, term AS item, CAST(p - q AS BIGINT) AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+#: After each turn, by the last retained role (r): the least (cost, audit) and the turns so far.
+ORACLE_SQL["op12_conversation_repair"] = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_concat([4294967295], list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8)), 4294967295) % 20 AS kind
+  FROM conversations, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM raw, range(2) copies(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, left(role, 1) AS i FROM damaged),
+t AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                 WHEN regexp_matches(text, '[^.!?\x20\x09-\x0D][\x20\x09-\x0D]*\z') THEN 'truncated' END AS fault,
+         coalesce(lag(i) OVER (PARTITION BY conv_id ORDER BY pos) || i NOT IN ('su', 'ua', 'au'), false) AS illegal
+  FROM placed),
+ins(r, x, added) AS (VALUES ('', 's', ''), ('', 'u', ''), ('', 'a', 'u'), ('s', 'u', ''), ('s', 'a', 'u'), ('u', 'u', 'a'), ('u', 'a', ''), ('a', 'u', ''), ('a', 'a', 'u')),
+says(a, line) AS (VALUES ('', ''), ('u', chr(10) || 'user:'), ('a', chr(10) || 'assistant:'), ('ua', chr(10) || 'user:' || chr(10) || 'assistant:')),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS pos, '' AS r, {'cost': 0::BIGINT, 'audit': '', 'said': ''} AS s FROM (SELECT DISTINCT conv_id FROM t)
+  UNION ALL
+  SELECT conv_id, pos, r, min(s) FROM (
+    SELECT w.conv_id, t.pos, w.r, {'cost': s.cost + 4, 'audit': s.audit || 'D', 'said': s.said} AS s
+    FROM walk w JOIN t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.pos = w.pos + 1
+    UNION ALL
+    SELECT w.conv_id, t.pos, ins.x, {
+      'cost': s.cost + 3 * length(added) + CASE WHEN i = x THEN 0 ELSE 3 END + CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END,
+      'audit': s.audit || repeat('I', length(added)) || CASE WHEN i = x THEN 'K' ELSE 'R' END,
+      'said': s.said || line || chr(10) || CASE WHEN i = x THEN role WHEN x = 'u' THEN 'user' ELSE 'assistant' END || ':' || text}
+    FROM walk w JOIN t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.pos = w.pos + 1 JOIN ins ON ins.r = w.r JOIN says ON says.a = added
+    WHERE (fault IS NULL OR fault = 'truncated') AND (x <> 's' OR i = 's')) GROUP BY conv_id, pos, r),
+ends(r, added) AS (VALUES ('', ''), ('s', 'ua'), ('u', 'a'), ('a', '')),
+done AS (
+  SELECT conv_id, min({'cost': s.cost + 3 * length(added), 'audit': s.audit || repeat('I', length(added)), 'said': s.said || line}) AS s
+  FROM walk JOIN (SELECT conv_id AS c, max(pos) AS n FROM t GROUP BY conv_id) ON c IS NOT DISTINCT FROM conv_id AND pos = n JOIN ends USING (r) JOIN says ON a = added
+  GROUP BY conv_id),
+faults AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal
+  FROM t GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(s.cost, 0) AS cost, coalesce(s.audit, '') AS audit, sha256(substr(coalesce(s.said, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

@@ -2,33 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "path string, seq long, record string, is_error boolean"
-
-
-def values_of(text: str) -> Iterator[tuple[str | None, bool]]:
-    """Each JSON object of a text, or an error mark: after what can't be read, reading goes on at the next line."""
-    read, at = json.JSONDecoder(parse_constant=lambda _: None).raw_decode, 0
-    while True:
-        while at < len(text) and text[at].isspace():
-            at += 1
-        if at >= len(text):
-            return
-        try:
-            value, at = read(text, at)
-        except ValueError:
-            at = text.find("\n", at) + 1 or len(text)
-            yield None, True
-            continue
-        good = isinstance(value, dict)
-        yield (json.dumps(value, ensure_ascii=False) if good else None), not good
+from .log_source import SCHEMA, SPLIT_BYTES, _open, batches, log_values, scan
 
 
 def log_files(spark: SparkSession, path: str | list[str], pattern: str = "*.jsonl") -> DataFrame:
@@ -55,29 +35,42 @@ def find_session(listing: DataFrame, wanted: str) -> DataFrame:
     return listing.withColumn("rank", rank).filter("rank is not null").orderBy("rank", "path").limit(1).drop("rank")
 
 
-def read_json_log(spark: SparkSession, path: str | list[str], max_bytes: int | None = None, pattern: str = "*.jsonl") -> DataFrame:
-    """path, seq, record (a JSON object as text, for parse_json), is_error; one task reads a whole file and yields it in parts.
+def read_json_log(spark: SparkSession, path: str | list[str], max_bytes: int | None = None, pattern: str = "*.jsonl", split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """path, seq, record (a JSON object as text, for parse_json), is_error: the values of all logs, a task for each split_bytes.
 
-    max_bytes keeps only the start of each file, for listings.  Unreadable records stay as marked rows.
+    max_bytes reads only the start of each file, for listings.  Unreadable records stay as marked rows, as do those that
+    nest too deep for the parser; halves of surrogate pairs become U+FFFD, numbers beyond the range of doubles null.  In
+    stores that pyarrow doesn't know Spark reads the files, and a task takes a whole one.
     """
+    paths = [path] if isinstance(path, str) else list(path)
+    try:
+        for p in paths:
+            _open(p)
+    except (ValueError, pa.ArrowException, OSError, ImportError):
+        return whole_logs(spark, paths, max_bytes, pattern)
+    return log_values(spark, paths, max_bytes, pattern, split_bytes)
+
+
+def whole_logs(spark: SparkSession, path: list[str], max_bytes: int | None = None, pattern: str = "*.jsonl") -> DataFrame:
+    """The rows of read_json_log, from files that Spark hands over whole."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     content = F.col("content") if max_bytes is None else F.substring("content", 1, max_bytes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file, data in zip(batch["path"], batch["content"]):
-                values = values_of(bytes(data).decode("utf-8", "replace"))
-                rows = ((file, i, record, bad) for i, (record, bad) in enumerate(values))
-                while part := list(islice(rows, 5000)):
-                    yield pd.DataFrame(part, columns=["path", "seq", "record", "is_error"])
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for file, data in zip(part.column("path").to_pylist(), part.column("content")):
+                held = data.as_py()
+                values = scan(lambda at, n, held=held: held[at : at + n], 0, len(held), len(held))
+                next(values)
+                yield from batches(file, 0, ((record, bad) for _, record, bad in values))
 
-    return files.select("path", content.alias("content")).mapInPandas(run, SCHEMA)
+    return files.select("path", content.alias("content")).mapInArrow(run, SCHEMA)
 
 
 def records_by_session(records: DataFrame, files: DataFrame) -> DataFrame:
     """read_json_log's rows as the parsers take them: session_id, seq, record, is_error, with the session that the file is named after."""
     named = files.select("path", "session_id")
-    return records.join(F.broadcast(named) if files.isLocal() else named, "path").select("session_id", "seq", "record", "is_error")
+    return records.join(named, "path").select("session_id", "seq", "record", "is_error")
 
 
 def listing(files: DataFrame, sessions: DataFrame, counts: DataFrame | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ headers, data and bubbles meet in joins on the id that the keys contain.
 from __future__ import annotations
 
 import json
+import re
 import sqlite3
 from collections.abc import Iterator
 
@@ -73,26 +74,83 @@ def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     return out.astype({"created": "Int64", "updated": "Int64", "archived": "boolean", "subagent": "boolean"})
 
 
-def tree_text(tree) -> str:
-    """The text nodes of a document tree in order, with a line end behind each paragraph that has any."""
-    if not isinstance(tree, dict):
-        return ""
-    own = tree["text"] if tree.get("type") == "text" and isinstance(tree.get("text"), str) else ""
-    whole = own + "".join(map(tree_text, tree.get("content") or []))
-    return whole + "\n" if whole and tree.get("type") == "paragraph" else whole
+#: A token of JSON and the white space before it: a string, a bracket or mark, a number, a word.
+TOKEN = re.compile(r'[ \t\n\r]*(?:("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|([][{}:,])|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)|(true|false|null|NaN|-?Infinity))')
+
+
+def tree_text(text: str) -> str:
+    """The text nodes of a document tree, given as JSON, in order, with a line end behind each paragraph that has any.
+
+    A node is an object, its children are the objects of its list `content`; of a key that occurs again the last one
+    counts.  One pass over the tokens with a stack of its own, so a tree may be as deep as its text.  What is no JSON has no text.
+    """
+    out: list[str] = []  # the text so far; a node that turns out to be no child takes its own back
+    # per open bracket: kind, key that is being read, where its text starts, where its content's does, own type and text
+    stack: list[list] = []
+    at, want = 0, "value"
+    while True:
+        found = TOKEN.match(text, at)
+        if not found:
+            break
+        at = found.end()
+        quoted, mark, number, word = found.groups()
+        top = stack[-1] if stack else None
+        if want == "end" or (mark == ":") != (want == ":"):
+            return ""
+        if want == ":":
+            want = "value"
+            continue
+        if want in ("key", "key or }") and mark != "}":
+            if quoted is None:
+                return ""
+            top[1], want = json.loads(quoted), ":"
+            if top[1] == "content":
+                del out[top[3] :]
+                top[3] = len(out)
+            continue
+        if mark == "," and want == "comma":
+            want = "key" if top[0] == "{" else "value"
+            continue
+        if mark in ("}", "]"):
+            if top is None or mark != {"{": "}", "[": "]"}[top[0]] or want not in ("comma", "key or }" if mark == "}" else "value or ]"):
+                return ""
+            stack.pop()
+            if mark == "}":
+                _close(out, top, stack)
+        elif want in ("comma", "key or }"):
+            return ""
+        elif mark in ("{", "["):
+            stack.append([mark, None, len(out), len(out), None, None])
+            want = "key or }" if mark == "{" else "value or ]"
+            continue
+        elif mark:
+            return ""
+        elif top and top[0] == "{" and top[1] in ("type", "text"):
+            top[4 if top[1] == "type" else 5] = json.loads(quoted) if quoted is not None else None
+        if mark and stack and stack[-1][0] == "{" and stack[-1][1] in ("type", "text"):
+            stack[-1][4 if stack[-1][1] == "type" else 5] = None
+        want = "comma" if stack else "end"
+    return "".join(out) if want == "end" and not text[at:].strip(" \t\n\r") else ""
+
+
+def _close(out: list[str], node: list, stack: list[list]) -> None:
+    """A node ends: its own text goes before its children's; a node that isn't a child of `content` takes all of it back."""
+    _, _, first, _, kind, own = node
+    listed = len(stack) > 1 and stack[-1][0] == "[" and stack[-2][0] == "{" and stack[-2][1] == "content"
+    if stack and not listed:
+        del out[first:]
+        return
+    if kind == "text" and own:
+        out.insert(first, own)
+    if kind == "paragraph" and len(out) > first:
+        out.append("\n")
 
 
 def prose(tree: Column) -> Column:
     """The text of a document tree given as JSON; trees are of any depth, so this runs in Python."""
 
-    def read(text) -> str:
-        try:
-            return tree_text(json.loads(text)) if text else ""
-        except ValueError:
-            return ""
-
     def run(trees: pd.Series) -> pd.Series:
-        return trees.map(read)
+        return trees.map(lambda t: tree_text(t) if t else "")
 
     return F.pandas_udf(run, "string")(tree)
 

@@ -263,7 +263,7 @@ PROJECT = "session_id string, cwd string, exists boolean, is_git boolean, constr
 def test_patches(spark, document):
     from threadloom.operators import revise
 
-    doc, project = document
+    doc, _ = document
     patch = {
         "task": {"title": "A better title", "goal": "", "status": "blocked"},
         "attempts": [{"action": "MVN -q test ", "result": "failed", "success": False}, {"action": "", "result": "x"}, {"result": "no action"}],
@@ -276,8 +276,8 @@ def test_patches(spark, document):
     assert [a["action"] for a in r["attempts"]] == ["MVN -q test ", f"修改文件：{FILE}"]
     assert [(a["action"], a["priority"]) for a in r["next_actions"]] == [("first", 2), ("second", 7)]
     assert r["implementation"]["completed"] == ["wrote it"] and r["implementation"]["modified_files"][0]["summary"] == "修改 2 处（+2/-2），共 2 次编辑"
-    assert len(r["risks"]) == 1 and r["unknown_fields"] == ["git"] and [t["command"] for t in r["validation"]["tests"]] == ["mvn -q -DskipTests compile", "mvn -q test"]
-    facts = revise.compared(revise.fact_fields(doc, project), revise.fact_fields(rows, project))
+    assert len(r["risks"]) == 1 and r["unknown_fields"] == ["$.git"] and [t["command"] for t in r["validation"]["tests"]] == ["mvn -q -DskipTests compile", "mvn -q test"]
+    facts = revise.compared(revise.fact_fields(doc), revise.fact_fields(rows))
     assert revise.facts_agree(facts).first()["invariant"]
     diff = {x["field"]: x["delta"] for x in revise.compared(revise.semantic_fields(doc), revise.semantic_fields(rows)).collect()}
     assert diff["task.title"] == "不同" and diff["task.goal"] == "一致" and diff["attempts（条）"] == "-1"
@@ -286,6 +286,59 @@ def test_patches(spark, document):
     assert nothing.select(*doc.columns).collect() == doc.collect()
 
 
+def test_patched_tests_are_no_facts(spark, document):
+    from threadloom.operators import revise
+
+    doc, _ = document
+    none = doc.withColumn("validation", F.col("validation").withField("tests", F.slice("validation.tests", 1, 0)))
+    told = [{"command": "a"}, {"command": "b", "status": "lost"}, {"command": "c", "source": "program"}, {"status": "passed"}]
+    patch = {"validation": {"tests": told, "lint": ["ruff"], "x": 1}, "task": {"goal": "g", "mood": {"deep": 1}}, "risks": [{"description": "r", "odds": 1}, {"description": "s"}], "conversation": {"user_preferences": ["short"]}, "attempts": [{"action": "x"}]}
+    row = revise.merge_patches(none, spark.createDataFrame([("s", json.dumps(patch))], "session_id string, patch string"), "llm:m")
+    r = row.first()
+    assert [(t["command"], t["status"], t["source"]) for t in r["validation"]["tests"]] == [("a", "passed", "llm")]
+    assert sorted(r["unknown_fields"]) == ["$.risks[0].odds", "$.task.mood", "$.validation.tests[2].source", "$.validation.x"]
+    assert [x["description"] for x in r["risks"]] == ["s"] and r["task"]["reconstructed_by"] == "llm:m" and r["conversation"]["user_preferences"] == ["short"]
+    assert r["attempts"][0]["success"] is False and len(r["attempts"]) == 3
+    facts = revise.compared(revise.fact_fields(none), revise.fact_fields(row))
+    assert facts.count() == 10 and revise.facts_agree(facts).first()["invariant"]
+    semantic = {x["field"]: (x["a"], x["b"], x["delta"]) for x in revise.compared(revise.semantic_fields(none), revise.semantic_fields(row)).collect()}
+    assert len(semantic) == 20 and semantic["validation.tests LLM 补充线索（条）"] == ("0", "1", "+1") and semantic["reconstructed_by"][2] == "不同"
+    twice = revise.compared(revise.fact_fields(doc), revise.fact_fields(none))
+    assert not revise.facts_agree(twice).first()["invariant"]
+
+
+def test_fact_sections(spark, normal):
+    from threadloom.operators import memory
+
+    sessions = spark.createDataFrame([("s", "codex", "/p", "m")], "session_id string, agent string, cwd string, model string")
+    project = spark.createDataFrame([("s", "/p", True, True, [], 0, ["z.py", "a.py"], "main", ["Python"])], "session_id string, cwd string, exists boolean, is_git boolean, constraints array<string>, n_changed int, changed_files array<string>, branch string, languages array<string>")
+    commands = spark.createDataFrame([("s", ["ls"])], "session_id string, recent_commands array<string>")
+    r = memory.facts(sessions, project, commands).first()
+    assert (r["git"]["changed_files"], r["git"]["has_uncommitted_changes"], r["git"]["branch"], r["git"]["commit"]) == (["a.py", "z.py"], True, "main", None)
+    assert r["project"]["language"] == ["Python"] and r["project"]["framework"] == [] and r["runtime"]["recent_commands"] == ["ls"] and r["metadata"]["source_agent"] == "codex"
+
+
+def test_extracted_patches(spark):
+    from threadloom.operators import extract
+
+    digest = "\n".join([
+        "no event", "[02-01 10:00] USER_MESSAGE   先修复登录。然后测试", "           └─ 先修复登录。然后测试", "[--] USER_MESSAGE   先修复登录。再来", "[02-01 10:01] ASSISTANT_MESSAGE 我决定采用新的缓存方案。短",
+        "[02-01 10:02] FILE_EDIT      修改文件：src/a.py（1 处，+2/-1）；src/b.tsx", "[02-01 10:03] TEST           测试失败：pytest -q  ⚠失败", "           └─ AssertionError: 1", "           └─ second",
+        "[02-01 10:04] BUILD          构建通过：make", "[02-01 10:05] TERMINAL       执行命令：ls  ⚠失败", "[02-01 10:06] FILE_EDIT      修改文件：src/a.py",
+    ])
+    rows = extract.extracted_patches(spark.createDataFrame([("s", digest), ("e", "（无事件）"), ("n", None)], "session_id string, digest string"))
+    found = {r["session_id"]: json.loads(r["patch"]) for r in rows.collect()}
+    p = found["s"]
+    assert p["task"]["title"] == "先修复登录" and p["task"]["goal"] == "先修复登录。然后测试" and p["task"]["requirements"] == ["先修复登录"] and p["task"]["status"] == "blocked"
+    assert [f["path"] for f in p["implementation"]["modified_files"]] == ["src/a.py", "src/b.ts"] and p["implementation"]["completed"] == ["修改了 2 个文件", "通过验证：构建通过：make"]
+    assert [(a["action"], a.get("error"), a["success"]) for a in p["attempts"]] == [("测试失败：pytest -q", "AssertionError: 1", False), ("执行命令：ls", None, False)]
+    assert [d["decision"] for d in p["decisions"]] == ["我决定采用新的缓存方案"]
+    assert [(i["description"], i["priority"]) for i in p["unresolved"]] == [("仍未解决：AssertionError: 1", "high"), ("仍未解决：执行命令：ls", "medium")] and [a["priority"] for a in p["next_actions"]] == [1, 2]
+    assert p["conversation"]["summary"] == "会话包含 2 条用户消息、3 次命令执行，其中 2 次失败。"
+    for k in "en":
+        assert found[k]["task"] == {"background": p["task"]["background"], "requirements": [], "constraints": [], "status": "in_progress"} and found[k]["attempts"] == []
+
+
 def test_checks(spark, document):
     from threadloom.operators import revise
 

@@ -208,3 +208,15 @@ RENDER = {
     "read": "请先读取 {}，理解任务当前状态，然后继续执行。",
     "rules": "1. **不要重新分析或重做已经完成的工作**\n2. **不要重复已经失败的方案**\n3. 先核对真实代码与 Git 状态，再动手\n4. 从「下一步行动」开始推进",
 }
+
+#: What the rule extractor reads in a digest, and its set phrases.
+EXTRACT = {
+    "line": r"^\[([^\]]+)\]\s+([A-Z_]+)\s*(.*)$", "failed": "⚠失败", "error": "└─", "sentence_end": "。",
+    "path": r"([^\s：，；、（]+\.(?:java|ts|tsx|js|py|vue|go|cs|xml|yml|yaml|json|md))", "path_edges": "（(,，",
+    "decision": "(决定|采用|选择|方案|建议|推荐|改为)",
+    "file_summary": "由 LLM 归纳的改动", "files_done": "修改了 {} 个文件", "passed": "通过验证：",
+    "purpose": "由 LLM 归纳该次尝试的意图", "result": "未能达成预期结果", "lesson": "该方向已被验证无效，不要重复相同做法",
+    "decision_reason": "由 LLM 从对话中归纳", "open": "仍未解决：", "cause": "由 LLM 归纳的推测原因",
+    "action": "针对「{}」做根因定位后再修复", "action_reason": "LLM 归纳：该问题在会话结束时仍未解决",
+    "background": "由 mock LLM 从事件时间线归纳", "summary": "会话包含 {} 条用户消息、{} 次命令执行，其中 {} 次失败。",
+}

@@ -122,7 +122,7 @@ def ends(events: DataFrame, kind: str, first: int, last: int) -> DataFrame:
 
 
 def conversation(events: DataFrame, sessions: DataFrame, truncated: DataFrame | None = None) -> DataFrame:
-    """session_id, summary, key_points, important_messages.  sessions has session_id and cwd, truncated the ids of compressed ones."""
+    """session_id, summary, key_points, user_preferences (none: only a patch knows any), important_messages.  sessions has session_id and cwd, truncated the ids of compressed ones."""
     users = ends(events, "user_message", 3, 2).withColumnsRenamed({"heads": "u_heads", "tails": "u_tails"})
     replies = ends(events, "assistant_message", 0, 3).select(SESSION, F.col("tails").alias("a_tails"))
     rows = counts(events).join(sessions.select(SESSION, "cwd"), SESSION, "left").join(users, SESSION, "left").join(replies, SESSION, "left")
@@ -145,6 +145,7 @@ def conversation(events: DataFrame, sessions: DataFrame, truncated: DataFrame |
         SESSION,
         F.concat(folder, X.filled(LABEL["summary"], *[F.col(c) for c in ("user_messages", "tool_calls", "failures", "edited_files")])).alias("summary"),
         F.slice(F.concat("asked", told, notes), 1, CAPS["key_points"]).alias("key_points"),
+        none.alias("user_preferences"),
         F.transform(F.filter(F.coalesce("u_heads", none), lambda x: x != ""), lambda x: X.truncate(X.collapse(x), 300)).alias("important_messages"),
     )
 
@@ -246,7 +247,7 @@ def validation(events: DataFrame) -> DataFrame:
     key = X.strip(F.col("command"))
     last = runs.groupBy(SESSION, key.alias("key")).agg(F.max("seq").alias("at"), F.max_by(F.struct("state", "said"), "seq").alias("r"))
     shown = X.truncate(F.when(F.col("key") == "", "unknown").otherwise(F.col("key")), 200).alias("command")
-    tests = last.groupBy(SESSION).agg(A.listed(F.struct(shown, F.col("r.state").alias("status"), F.col("r.said").alias("output_summary")), "at").alias("tests"))
+    tests = last.groupBy(SESSION).agg(A.listed(F.struct(shown, F.col("r.state").alias("status"), F.col("r.said").alias("output_summary"), F.lit("program").alias("source")), "at").alias("tests"))
     build = runs.filter("category = 'build'").groupBy(SESSION).agg(
         F.max_by(F.struct(X.truncate(F.col("command"), 200).alias("command"), F.col("state").alias("status"), F.col("said").alias("output_summary")), "seq").alias("build")
     )
@@ -342,7 +343,7 @@ def task(events: DataFrame, sessions: DataFrame, project: DataFrame) -> DataFram
     none = F.array().cast("array<string>")
     return rows.select(
         SESSION, F.concat(F.lit("task_"), F.col(SESSION).cast("string")).alias("id"), "title", "goal", background.alias("background"), F.coalesce("requirements", none).alias("requirements"),
-        F.slice(F.coalesce("constraints", none), 1, CAPS["constraints"]).alias("constraints"), "status", "confidence",
+        F.slice(F.coalesce("constraints", none), 1, CAPS["constraints"]).alias("constraints"), "status", "confidence", F.lit("heuristic").alias("reconstructed_by"),
     )
 
 
@@ -353,6 +354,33 @@ def stats(events: DataFrame, bundles: DataFrame) -> DataFrame:
     return rows.select(SESSION, F.struct(F.lit("heuristic").alias("reconstruction"), *names, F.col("estimated_tokens").alias("digest_tokens_estimate"), F.col("stats").alias("compression")).alias("stats"))
 
 
+#: What a project table may say of a session's project and its version control; what it doesn't is empty.
+PROJECT = {
+    "name": "string", "cwd": "string", "languages": "array<string>", "frameworks": "array<string>", "structure_summary": "string", "modules": "array<string>",
+    "branch": "string", "commit": "string", "status_summary": "string", "changed_files": "array<string>", "diff_summary": "string", "n_changed": "int", "system": "string", "shell": "string",
+}
+
+
+def facts(sessions: DataFrame, project: DataFrame, commands: DataFrame) -> DataFrame:
+    """session_id, metadata, project, git, runtime: where a document comes from and what its project is like, as found there.
+
+    commands: session_id and recent_commands.  Changed files are sorted; there are uncommitted changes if any is listed or counted.
+    """
+    none = F.array().cast("array<string>")
+    given = lambda c: F.col(c).cast(PROJECT[c]) if c in project.columns else F.lit(None).cast(PROJECT[c])
+    rows = project.select(SESSION, *[given(c).alias(c) for c in PROJECT], (F.col("constraints") if "constraints" in project.columns else none).alias("limits"))
+    rows = sessions.select(SESSION, "agent").join(rows, SESSION, "left").join(commands, SESSION, "left")
+    each = lambda c: F.coalesce(F.col(c), none)
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return rows.select(
+        SESSION,
+        F.struct(F.col("agent").alias("source_agent"), F.col(SESSION).cast("string").alias("source_session_id"), F.lit("1.0").alias("schema_version")).alias("metadata"),
+        F.struct(text("name").alias("name"), text("cwd").alias("path"), each("languages").alias("language"), each("frameworks").alias("framework"), "structure_summary", each("modules").alias("important_modules"), each("limits").alias("project_constraints")).alias("project"),
+        F.struct("branch", "commit", "status_summary", F.array_sort(each("changed_files")).alias("changed_files"), "diff_summary", ((F.coalesce("n_changed", F.lit(0)) > 0) | (F.size(each("changed_files")) > 0)).alias("has_uncommitted_changes")).alias("git"),
+        F.struct(text("cwd").alias("working_directory"), text("system").alias("operating_system"), "shell", each("recent_commands").alias("recent_commands")).alias("runtime"),
+    )
+
+
 def reconstruct(events: DataFrame, sessions: DataFrame, project: DataFrame, n_secrets: DataFrame | None = None, max_tokens: int = 36_000) -> DataFrame:
     """One document per session: its sections as structs and arrays."""
     bundles = compress.bundles(events, max_tokens)
@@ -370,7 +398,7 @@ def reconstruct(events: DataFrame, sessions: DataFrame, project: DataFrame, n_se
         array(unresolved(events, project), ["description", "priority", "context", "suspected_cause"], "unresolved"),
         array(todo, ["action", "reason", F.col("nth").alias("priority"), F.lit(False).alias("completed")], "next_actions"),
         risks(events, project, n_secrets),
-        A.recent_commands(events.filter(F.col("category").isin("terminal", "build", "test")), 20, 200).withColumnRenamed("commands", "recent_commands"),
+        facts(sessions, project, A.recent_commands(events.filter(F.col("category").isin("terminal", "build", "test")), 20, 200).withColumnRenamed("commands", "recent_commands")),
         stats(events, bundles),
     ]
     out = events.select(SESSION).distinct()

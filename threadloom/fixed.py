@@ -220,3 +220,7 @@ EXTRACT = {
     "action": "针对「{}」做根因定位后再修复", "action_reason": "LLM 归纳：该问题在会话结束时仍未解决",
     "background": "由 mock LLM 从事件时间线归纳", "summary": "会话包含 {} 条用户消息、{} 次命令执行，其中 {} 次失败。",
 }
+
+#: Patterns of failed logins in a log, and the words that tell why an interface refused a call.
+AUTH_FAILED = r"(?i)not logged in|please run codex login|401 unauthorized|missing bearer|invalid api key|incorrect api key"
+REFUSED = {"login": ["not logged in", "login"], "quota": ["credit", "quota"]}

@@ -417,4 +417,4 @@ def j6_contains_join(spark, d):
     return found.select("doc_id", "item_id").unionByName(short.select("doc_id", "item_id")).distinct()
 
 
-from . import log_queries  # noqa: E402, F401  (adds the queries over logs)
+from . import log_queries, patch_queries  # noqa: E402, F401  (add the queries over logs)

@@ -135,36 +135,36 @@ def set_name(own) -> bytes:
 
 
 def possible_rows(sets: DataFrame) -> DataFrame:
-    """sets(name, n, columns) to the entries (name, column) that a pair within the bounds can share, and `typical`.
+    """sets(row, n, columns) to the entries (row, column) that a pair within the bounds can share, and `typical`.
 
     typical is larger for rows whose columns are frequent.  Each round counts the columns among the rows that are left; more
     rounds leave fewer rows, and none loses a row with a partner.
     """
-    entries = sets.select("name", "n", F.explode("columns").alias("column"))
+    entries = sets.select("row", F.col("n").cast("int").alias("n"), F.explode("columns").alias("column"))
     need, before = least_shared(F.col("n")), -1
     while True:
         often = save(entries.groupBy("column").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "often")
-        listed = entries.join(often, "column").groupBy("name", "n").agg(F.sort_array(F.collect_list(F.struct("often", "column"))).alias("own"))
+        listed = entries.join(often, "column").groupBy("row", "n").agg(F.sort_array(F.collect_list(F.struct("often", "column"))).alias("own"))
         listed = save(listed.filter(F.size("own") >= need), "rows")
         rows = listed.count()
         if rows == 0 or 0 <= before <= 1.05 * rows:
             break
-        before, entries = rows, listed.select("name", "n", F.explode("own.column").alias("column"))
+        before, entries = rows, listed.select("row", "n", F.explode("own.column").alias("column"))
     typical = F.aggregate("own", F.lit(0.0), lambda a, x: a + F.log2(x["often"])) / F.col("n")
     kept = F.slice("own.column", 1, F.size("own") - need + 1)
-    return listed.select("name", typical.alias("typical"), F.explode(kept).alias("column"))
+    return listed.select("row", typical.alias("typical"), F.explode(kept).alias("column"))
 
 
 def blocks(entries: DataFrame) -> DataFrame:
-    """entries(name, typical, column) to name, typical, block: rows that hang together over columns."""
-    least = save(entries.groupBy("column").agg(F.min("name").alias("v")), "least")
-    edges = entries.join(least, "column").select(F.col("name").alias("u"), "v").distinct()
-    found = components(edges).select(F.col("node").alias("name"), F.col("component").alias("block"))
-    return entries.select("name", "typical").distinct().join(found, "name")
+    """entries(row, typical, column) to row, typical, block: rows that hang together over columns."""
+    least = save(entries.groupBy("column").agg(F.min("row").alias("v")), "least")
+    edges = entries.join(least, "column").select(F.col("row").alias("u"), "v").distinct()
+    found = components(edges).select(F.col("node").alias("row"), F.col("component").alias("block"))
+    return entries.select("row", "typical").distinct().join(found, "row")
 
 
 def with_shingles(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """wanted(doc, name, ...) with n and the shingles of its set, read from the texts of the documents named."""
+    """wanted(doc, name, row, ...) with n and the shingles of its set, read from the texts of the documents named."""
     import numpy as np
 
     wanted = wanted.withColumnRenamed("doc", "doc_")
@@ -184,7 +184,7 @@ def with_shingles(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*[cut.column(c) for c in rest], pa.array([len(x) for x in own], pa.int64()), grams], names=[*rest, "n", "grams"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.drop("text").schema)
-    return texts.mapInArrow(run, f"{schema}, n long, grams array<long>").dropDuplicates(["name"])
+    return texts.mapInArrow(run, f"{schema}, n long, grams array<long>").drop("name").dropDuplicates(["row"])
 
 
 def linked_pairs(left: list, right: list | None, percent: int):
@@ -230,11 +230,11 @@ def linked_pairs(left: list, right: list | None, percent: int):
     return a[i], b[j] - (0 if right is None else len(left))
 
 
-def stars(names: list, i, j) -> pa.Table:
-    """Edges u, v that connect what the pairs of positions connect, at most one for each name."""
+def stars(rows, i, j) -> pa.Table:
+    """Edges u, v that connect what the pairs of positions connect, at most one for each row."""
     import numpy as np
 
-    label = np.arange(len(names))
+    label = np.arange(len(rows))
     while len(i):
         u, v = label[i], label[j]
         if (u == v).all():
@@ -242,16 +242,16 @@ def stars(names: list, i, j) -> pa.Table:
         np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
         while (label != label[label]).any():
             label = label[label]
-    moved = np.flatnonzero(label != np.arange(len(names)))
-    return pa.table({"u": pa.array([names[k] for k in moved], pa.binary()), "v": pa.array([names[label[k]] for k in moved], pa.binary())})
+    moved = np.flatnonzero(label != np.arange(len(rows)))
+    return pa.table({"u": rows[moved], "v": rows[label[moved]]})
 
 
-def rows_of(group: pa.Table) -> tuple[list, list]:
+def rows_of(group: pa.Table) -> tuple:
     import numpy as np
 
     grams = group.column("grams").combine_chunks()
     flat, ends = grams.values.to_numpy(zero_copy_only=False).view(np.uint64), grams.offsets.to_numpy()
-    return group.column("name").to_pylist(), [flat[p:q] for p, q in zip(ends, ends[1:])]
+    return group.column("row").to_numpy(), [flat[p:q] for p, q in zip(ends, ends[1:])]
 
 
 def small_block_links(members: DataFrame, percent: int) -> DataFrame:
@@ -263,11 +263,11 @@ def small_block_links(members: DataFrame, percent: int) -> DataFrame:
         out = []
         group = group.sort_by("block")
         for block in _runs(group):
-            names, sets = rows_of(block)
-            out.append(stars(names, *linked_pairs(sets, None, percent)))
+            rows, sets = rows_of(block)
+            out.append(stars(rows, *linked_pairs(sets, None, percent)))
         return pa.concat_tables(out)
 
-    return dealt.groupBy("deal").applyInArrow(run, "u binary, v binary")
+    return dealt.groupBy("deal").applyInArrow(run, "u long, v long")
 
 
 def _runs(group: pa.Table) -> Iterator[pa.Table]:
@@ -288,13 +288,13 @@ def centre_links(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
     labelled, edges = members.withColumn("label", F.lit(-1)), None
     for k in range(CENTRES):
         left = labelled.filter("label = -1")
-        centre = left.groupBy("block").agg(F.max_by("name", F.struct("typical", "name")).alias("centre"))
-        centre = save(centre.join(members.select(F.col("name").alias("centre"), F.col("n").alias("m"), F.col("grams").alias("theirs")), "centre"), "centres")
+        centre = left.groupBy("block").agg(F.max_by("row", F.struct("typical", "row")).alias("centre"))
+        centre = save(centre.join(members.select(F.col("row").alias("centre"), F.col("n").alias("m"), F.col("grams").alias("theirs")), "centre"), "centres")
         common = F.size(F.array_intersect("grams", "theirs"))
         hit = (F.col("label") == -1) & (100 * common >= percent * (F.col("n") + F.col("m") - common))
         seen = labelled.join(centre, "block", "left").withColumn("label", F.when(hit, k).otherwise(F.col("label")))
         labelled = save(seen.drop("m", "theirs"), "labelled")
-        found = labelled.filter(f"label = {k} AND name != centre").select(F.col("name").alias("u"), F.col("centre").alias("v"))
+        found = labelled.filter(f"label = {k} AND row != centre").select(F.col("row").alias("u"), F.col("centre").alias("v"))
         edges = found if edges is None else edges.unionByName(found)
         labelled = labelled.drop("centre")
     return edges, labelled
@@ -314,30 +314,30 @@ def tile_links(labelled: DataFrame, percent: int) -> DataFrame:
     pairs = save(pairs, "tiles")
     same = (F.col("la") == F.col("lb")) & (F.col("ba") == F.col("bb"))
     tile, own = ["block", "la", "ba", "lb", "bb", "s", "t"], ["block", "label", "band"]
-    salt = F.pmod(F.xxhash64("name"), F.col("ka")).cast("int")
+    salt = F.pmod(F.xxhash64("row"), F.col("ka")).cast("int")
     first = rows.join(pairs.withColumnsRenamed({"la": "label", "ba": "band"}), own).withColumnsRenamed({"label": "la", "band": "ba"})
     first = first.withColumn("salt", salt).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("kb") - 1)))
     first = first.select(
-        "name", "grams", F.when(same & (F.col("other") < F.col("salt")), 1).when(same & (F.col("other") == F.col("salt")), 2).otherwise(0).alias("side"),
+        "row", "grams", F.when(same & (F.col("other") < F.col("salt")), 1).when(same & (F.col("other") == F.col("salt")), 2).otherwise(0).alias("side"),
         F.when(same, F.least("salt", "other")).otherwise(F.col("salt")).alias("s"), F.when(same, F.greatest("salt", "other")).otherwise(F.col("other")).alias("t"), *tile[:5],
     )
     second = rows.join(pairs.filter(~same).withColumnsRenamed({"lb": "label", "bb": "band"}), own).withColumnsRenamed({"label": "lb", "band": "bb"})
-    second = second.withColumn("t", F.pmod(F.xxhash64("name"), F.col("kb")).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("ka") - 1)))
-    dealt = first.unionByName(second.select("name", "grams", F.lit(1).alias("side"), "s", "t", *tile[:5]))
+    second = second.withColumn("t", F.pmod(F.xxhash64("row"), F.col("kb")).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("ka") - 1)))
+    dealt = first.unionByName(second.select("row", "grams", F.lit(1).alias("side"), "s", "t", *tile[:5]))
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("side")
         side = group.column("side").to_pylist()
-        names, sets = rows_of(group)
+        rows, sets = rows_of(group)
         if side[-1] == 2:
-            return stars(names, *linked_pairs(sets, None, percent))
+            return stars(rows, *linked_pairs(sets, None, percent))
         cut = side.count(0)
         if cut in (0, len(side)):
-            return stars([], [], [])
+            return stars(rows[:0], [], [])
         i, j = linked_pairs(sets[:cut], sets[cut:], percent)
-        return stars(names, i, j + cut)
+        return stars(rows, i, j + cut)
 
-    return dealt.groupBy(*tile).applyInArrow(run, "u binary, v binary")
+    return dealt.groupBy(*tile).applyInArrow(run, "u long, v long")
 
 
 def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -351,9 +351,9 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """
     small_batches(docs.sparkSession)
     rows = save(shingle_sets(docs, words, percent), "shingles")
-    sets = save(rows.filter("n > 0").groupBy("name", "n").agg(F.min("doc_id").alias("doc"), F.any_value("columns").alias("columns")), "sets")
+    sets = save(rows.filter("n > 0").groupBy("name", "n").agg(F.min("doc_id").alias("doc"), F.any_value("columns").alias("columns")).withColumn("row", F.monotonically_increasing_id()), "sets")  # numbers are fixed once written
     found = save(blocks(possible_rows(sets)), "blocks")
-    members = save(with_shingles(docs, found.join(sets.select("name", "doc"), "name"), words), "members")
+    members = save(with_shingles(docs, found.join(sets.select("row", "name", "doc"), "row"), words), "members")
     sizes = members.groupBy("block").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("entries"))
     large = save(sizes.filter((F.col("rows") > ROWS) | (F.col("entries") > ENTRIES)).select("block"), "large")
     edges = small_block_links(members.join(large, "block", "left_anti"), percent)
@@ -361,7 +361,7 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         near, labelled = centre_links(save(members.join(large, "block", "left_semi"), "large"), percent)
         edges = edges.unionByName(near).unionByName(tile_links(labelled, percent))
     linked = components(edges)
-    named = sets.join(linked, sets["name"] == linked["node"], "left").select("name", "doc", F.coalesce("component", "name").alias("component"))
+    named = sets.join(linked, sets["row"] == linked["node"], "left").select("name", "doc", F.coalesce("component", "row").alias("component"))
     named = save(named, "named")
     least = save(named.groupBy("component").agg(F.min("doc").alias("component_id")), "components")
     named = save(named.join(least, "component").select("name", "component_id"), "named")

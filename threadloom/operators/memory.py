@@ -7,6 +7,8 @@ of the session's project, one row per session.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from . import aggregate as A
 from . import compress
 
 SESSION, TAIL = A.SESSION, 15
+#: Tokens of a digest: so many times a document's, or so many where digests aren't compressed.
+DIGEST_TIMES, UNCOMPRESSED = 3, 200_000
 TOOLS = ["terminal", "file_edit", "file_read", "build", "test", "tool_call"]
 CAPS = {"requirements": 10, "attempts": 15, "decisions": 3, "issues": 6, "actions": 8, "constraints": 8, "key_points": 8, "risks": 5}
 
@@ -75,17 +79,20 @@ def counts(events: DataFrame) -> DataFrame:
     return joined.na.fill(0, ["edited_files", "read_files"]).withColumn("confidence", confidence)
 
 
-def open_failures(events: DataFrame) -> DataFrame:
-    """Failures of any category among a session's last events that no later success of their command resolves."""
+def open_failures(events: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """Failures of any category among a session's last events that no later success of their command resolves.
+
+    Here and below, what several sections need may be handed over, as a table: failed (failures), late (these) and totals (counts).
+    """
     back = F.row_number().over(W.partitionBy(SESSION).orderBy(F.desc("seq")))
     tail = events.withColumn("back", back).filter(F.col("back") <= TAIL).filter("is_failure").select(SESSION, "seq")
-    return failures(events).join(tail, [SESSION, "seq"]).filter("not resolved")
+    return (failures(events) if failed is None else failed).join(tail, [SESSION, "seq"]).filter("not resolved")
 
 
-def status(events: DataFrame) -> DataFrame:
+def status(events: DataFrame, totals: DataFrame | None = None, late: DataFrame | None = None) -> DataFrame:
     """session_id, status."""
-    late = open_failures(events).groupBy(SESSION).agg(F.count(F.lit(1)).alias("n_open"))
-    rows = counts(events).join(late, SESSION, "left")
+    n_open = (open_failures(events) if late is None else late).groupBy(SESSION).agg(F.count(F.lit(1)).alias("n_open"))
+    rows = (counts(events) if totals is None else totals).join(n_open, SESSION, "left")
     state = (
         F.when(F.col("interrupted"), "in_progress")
         .when(F.coalesce("n_open", F.lit(0)) > 0, "blocked")
@@ -121,11 +128,12 @@ def ends(events: DataFrame, kind: str, first: int, last: int) -> DataFrame:
     return rows.groupBy(SESSION).agg(kept("up", first).alias("heads"), kept("down", last).alias("tails"))
 
 
-def conversation(events: DataFrame, sessions: DataFrame, truncated: DataFrame | None = None) -> DataFrame:
+def conversation(events: DataFrame, sessions: DataFrame, truncated: DataFrame | None = None, totals: DataFrame | None = None) -> DataFrame:
     """session_id, summary, key_points, user_preferences (none: only a patch knows any), important_messages.  sessions has session_id and cwd, truncated the ids of compressed ones."""
     users = ends(events, "user_message", 3, 2).withColumnsRenamed({"heads": "u_heads", "tails": "u_tails"})
     replies = ends(events, "assistant_message", 0, 3).select(SESSION, F.col("tails").alias("a_tails"))
-    rows = counts(events).join(sessions.select(SESSION, "cwd"), SESSION, "left").join(users, SESSION, "left").join(replies, SESSION, "left")
+    totals = counts(events) if totals is None else totals
+    rows = totals.join(sessions.select(SESSION, "cwd"), SESSION, "left").join(users, SESSION, "left").join(replies, SESSION, "left")
     cut = F.lit(False)
     if truncated is not None:
         rows = rows.join(truncated.select(SESSION, F.lit(True).alias("is_cut")), SESSION, "left")
@@ -172,12 +180,12 @@ def passing_tests(events: DataFrame, most: int = 3) -> DataFrame:
     return late.withColumn("nth", F.row_number().over(W.partitionBy(SESSION).orderBy("seq")).cast("long")).select(SESSION, "nth", "seq", "command")
 
 
-def implementation(events: DataFrame) -> DataFrame:
+def implementation(events: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """session_id, completed, modified_files, created_files, deleted_files."""
     none = F.array().cast("array<string>")
     files = edited_files(events).groupBy(SESSION).agg(A.listed(F.struct("path", "summary", "status"), "first").alias("modified_files"))
     passed = passing_tests(events).groupBy(SESSION).agg(A.listed(F.concat(F.lit(LABEL["passed_test"]), X.truncate(F.col("command"), 120)), "nth").alias("passed"))
-    rows = counts(events).select(SESSION, "read_files").join(files, SESSION, "left").join(passed, SESSION, "left")
+    rows = (counts(events) if totals is None else totals).select(SESSION, "read_files").join(files, SESSION, "left").join(passed, SESSION, "left")
     rows = rows.withColumn("modified_files", F.coalesce("modified_files", F.array().cast("array<struct<path:string,summary:string,status:string>>")))
     names = F.array_join(F.transform(F.slice("modified_files", 1, 6), lambda f: f["path"]), "、")
     read = F.when(F.col("read_files") > 0, X.filled(LABEL["read_count"], F.col("read_files")))
@@ -206,9 +214,9 @@ def failure_result(error: Column) -> Column:
     return F.when(~is_test() & (error != ""), X.truncate(error, 200)).otherwise(F.concat(base, code))
 
 
-def attempts(events: DataFrame) -> DataFrame:
+def attempts(events: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """session_id, nth, action, result, success, error, lesson: distinct failed actions, then the last passing tests."""
-    failed = failures(events).filter(F.col("category").isin(TOOLS)).withColumn("short", X.truncate(F.col("error"), 160))
+    failed = (failures(events) if failed is None else failed).filter(F.col("category").isin(TOOLS)).withColumn("short", X.truncate(F.col("error"), 160))
     same = failed.groupBy(SESSION, "short").agg(F.count(F.lit(1)).alias("n_same"))
     rows = failed.join(same, [SESSION, "short"]).withColumn("key", X.dedupe_key(F.col("action"), 80))
     repeated = (F.col("error") != "") & (F.col("error") == F.col("short")) & (F.col("n_same") - 1 >= 2)
@@ -261,13 +269,13 @@ def repeated_errors(events: DataFrame, least: int = 3) -> DataFrame:
     return failed.groupBy(SESSION, "error").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq")).filter((F.col("n") >= least) & (F.length("error") >= 12))
 
 
-def unresolved(events: DataFrame, project: DataFrame) -> DataFrame:
+def unresolved(events: DataFrame, project: DataFrame, late: DataFrame | None = None) -> DataFrame:
     """session_id, nth, description, priority, context, suspected_cause, from four sources in order."""
     text = F.lit(None).cast("string")
     issue = lambda source, at, what, priority, context, cause: [
         F.lit(source).alias("source"), at.cast("long").alias("at"), what.alias("description"), priority.alias("priority"), context.alias("context"), cause.alias("suspected_cause"),
     ]
-    late = open_failures(events).filter(~is_interrupt()).withColumn("line", X.truncate(F.col("error"), 200))
+    late = (open_failures(events) if late is None else late).filter(~is_interrupt()).withColumn("line", X.truncate(F.col("error"), 200))
     label = F.when(is_test(), LABEL["issue_test"]).otherwise(LABEL["issue_command"])
     blind = F.concat(label, F.col("action"), F.coalesce(X.filled(LABEL["issue_no_error"], F.col("exit_code")), F.lit("")))
     said = F.when(F.col("line") != "", F.concat(label, F.col("line"))).otherwise(blind)
@@ -284,9 +292,9 @@ def unresolved(events: DataFrame, project: DataFrame) -> DataFrame:
     return first_seen(every, "key", ["source", "at"], CAPS["issues"]).select(SESSION, "nth", "description", "priority", "context", "suspected_cause")
 
 
-def next_actions(events: DataFrame) -> DataFrame:
+def next_actions(events: DataFrame, late: DataFrame | None = None) -> DataFrame:
     """session_id, nth, action, reason: open failures, else the steps that the last reply lists, else a default one."""
-    late = open_failures(events).filter(~is_interrupt()).filter("coalesce(command, '') != '' or size(paths) > 0")
+    late = (open_failures(events) if late is None else late).filter(~is_interrupt()).filter("coalesce(command, '') != '' or size(paths) > 0")
     line = X.truncate(F.col("error"), 160)
     said = F.concat(F.lit(LABEL["action_fix"]), "action", F.when(line != "", X.filled(LABEL["action_error"], line)).otherwise(""))
     fixes = late.select(SESSION, "seq", said.alias("said"), X.dedupe_key(F.col("action"), 40).alias("key"))
@@ -330,10 +338,11 @@ def risks(events: DataFrame, project: DataFrame, n_secrets: DataFrame | None = N
     return rows.select(SESSION, F.slice(found, 1, CAPS["risks"]).alias("risks"))
 
 
-def task(events: DataFrame, sessions: DataFrame, project: DataFrame) -> DataFrame:
+def task(events: DataFrame, sessions: DataFrame, project: DataFrame, totals: DataFrame | None = None, late: DataFrame | None = None) -> DataFrame:
     """session_id, title, goal, background, requirements, constraints, status, confidence.  sessions: session_id, agent, cwd, model."""
     asked = requirements(events).groupBy(SESSION).agg(A.listed("line", "nth").alias("requirements"))
-    rows = counts(events).join(goals(events), SESSION).join(status(events), SESSION).join(asked, SESSION, "left")
+    totals = counts(events) if totals is None else totals
+    rows = totals.join(goals(events), SESSION).join(status(events, totals, late), SESSION).join(asked, SESSION, "left")
     rows = rows.join(sessions.select(SESSION, "agent", "cwd", "model"), SESSION, "left").join(project.select(SESSION, "exists", "constraints"), SESSION, "left")
     part = lambda name, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", X.filled(LABEL[name], F.col(c)))
     background = F.concat_ws(
@@ -347,10 +356,10 @@ def task(events: DataFrame, sessions: DataFrame, project: DataFrame) -> DataFram
     )
 
 
-def stats(events: DataFrame, bundles: DataFrame) -> DataFrame:
+def stats(events: DataFrame, bundles: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """session_id, stats: the counters of the session and of its compression (bundles: compress.bundles)."""
     names = ["total_events", "user_messages", "tool_calls", "failures", "test_runs", "edited_files"]
-    rows = counts(events).join(bundles.select(SESSION, "estimated_tokens", "stats"), SESSION, "left")
+    rows = (counts(events) if totals is None else totals).join(bundles.select(SESSION, "estimated_tokens", "stats"), SESSION, "left")
     return rows.select(SESSION, F.struct(F.lit("heuristic").alias("reconstruction"), *names, F.col("estimated_tokens").alias("digest_tokens_estimate"), F.col("stats").alias("compression")).alias("stats"))
 
 
@@ -381,27 +390,36 @@ def facts(sessions: DataFrame, project: DataFrame, commands: DataFrame) -> DataF
     )
 
 
-def reconstruct(events: DataFrame, sessions: DataFrame, project: DataFrame, n_secrets: DataFrame | None = None, max_tokens: int = 36_000) -> DataFrame:
-    """One document per session: its sections as structs and arrays."""
-    bundles = compress.bundles(events, max_tokens)
-    done = implementation(events)
-    todo = without_completed(next_actions(events), done)
+def reconstruct(
+    events: DataFrame, sessions: DataFrame, project: DataFrame, n_secrets: DataFrame | None = None, max_tokens: int | None = 12_000,
+    keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
+) -> DataFrame:
+    """One document per session: its sections as structs and arrays.  max_tokens is a document's budget; without one, digests aren't compressed but for UNCOMPRESSED tokens.
+
+    keep(table, name) is called with what several sections read; one that writes it has it computed once.
+    """
+    totals, failed = keep(counts(events), "counts"), keep(failures(events), "failures")
+    late = keep(open_failures(events, failed), "open")
+    bundles = keep(compress.bundles(events, UNCOMPRESSED if max_tokens is None else DIGEST_TIMES * max_tokens), "bundles")
+    done = keep(implementation(events, totals), "done")
+    todo = without_completed(next_actions(events, late), done)
     array = lambda rows, fields, name: rows.groupBy(SESSION).agg(A.listed(F.struct(*fields), "nth").alias(name))
     whole = lambda rows, name: rows.select(SESSION, F.struct(*[c for c in rows.columns if c != SESSION]).alias(name))
-    sections = [
-        whole(task(events, sessions, project), "task"),
-        whole(conversation(events, sessions, bundles.filter("truncated")), "conversation"),
-        whole(done, "implementation"),
-        array(decisions(events), ["decision", F.lit(LABEL["reason_decision"]).alias("reason"), "ts"], "decisions"),
-        array(attempts(events), ["action", "result", "success", "error", "lesson"], "attempts"),
-        whole(validation(events), "validation"),
-        array(unresolved(events, project), ["description", "priority", "context", "suspected_cause"], "unresolved"),
-        array(todo, ["action", "reason", F.col("nth").alias("priority"), F.lit(False).alias("completed")], "next_actions"),
-        risks(events, project, n_secrets),
-        facts(sessions, project, A.recent_commands(events.filter(F.col("category").isin("terminal", "build", "test")), 20, 200).withColumnRenamed("commands", "recent_commands")),
-        stats(events, bundles),
-    ]
-    out = events.select(SESSION).distinct()
-    for section in sections:
-        out = out.join(section, SESSION, "left")
+    commands = A.recent_commands(events.filter(F.col("category").isin("terminal", "build", "test")), 20, 200).withColumnRenamed("commands", "recent_commands")
+    sections = {
+        "task": whole(task(events, sessions, project, totals, late), "task"),
+        "conversation": whole(conversation(events, sessions, bundles.filter("truncated"), totals), "conversation"),
+        "implementation": whole(done, "implementation"),
+        "decisions": array(decisions(events), ["decision", F.lit(LABEL["reason_decision"]).alias("reason"), "ts"], "decisions"),
+        "attempts": array(attempts(events, failed), ["action", "result", "success", "error", "lesson"], "attempts"),
+        "validation": whole(validation(events), "validation"),
+        "unresolved": array(unresolved(events, project, late), ["description", "priority", "context", "suspected_cause"], "unresolved"),
+        "next_actions": array(todo, ["action", "reason", F.col("nth").alias("priority"), F.lit(False).alias("completed")], "next_actions"),
+        "risks": risks(events, project, n_secrets),
+        "facts": facts(sessions, project, commands),
+        "stats": stats(events, bundles, totals),
+    }
+    out = totals.select(SESSION)
+    for name, section in sections.items():
+        out = out.join(keep(section, name), SESSION, "left")
     return out

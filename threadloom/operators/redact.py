@@ -7,13 +7,18 @@ found and nowhere else.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..fixed import MASK, NO_SECRETS, SECRET_RULES, SEVERITIES
 from ..functions import text as X
 
 MODES = {"strict": SEVERITIES, "balanced": SEVERITIES[:2], "off": []}
+#: Whatever a rule finds holds one of these, so texts without any are looked through once.
+HINT = r"(?i)sk-|a[ks]ia|aiza|gh[pousr]_|xox[baprs]-|eyj|private key|bearer|jdbc:|key|secret|token|passw|pwd|database[_-]?url"
 SPAN = "struct<start:int,rank:int,n:int,kind:string,mask:string>"
 
 
@@ -26,7 +31,8 @@ def plausible(value: Column) -> Column:
 def candidates(text: Column, kind: str) -> Column:
     """The matches of one rule as SPANs: what is masked starts after `start` characters and is n long."""
     pattern, group, severity, keep = SECRET_RULES[kind]
-    pieces = F.regexp_extract_all(text, F.lit(rf"(?s:\G.*?)(?:{pattern})"), F.lit(0))  # what precedes a match, and the match
+    each = F.regexp_extract_all(text, F.lit(rf"(?s:\G.*?)(?:{pattern})"), F.lit(0))  # what precedes a match, and the match
+    pieces = F.when(F.rlike(text, F.lit(pattern)), each).otherwise(F.array().cast("array<string>"))
     none = F.array().cast(f"array<{SPAN}>")
 
     def step(acc: Column, piece: Column) -> Column:
@@ -63,7 +69,8 @@ def secret_spans(text: Column) -> Column:
             F.when(fresh, F.concat(acc["kept"], F.array(s))).otherwise(acc["kept"]).alias("kept"),
         )
 
-    return F.aggregate(ordered, start, step, lambda acc: acc["kept"])
+    found = F.aggregate(ordered, start, step, lambda acc: acc["kept"])
+    return F.when(F.rlike(text, F.lit(HINT)), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def masked(text: Column, spans: Column, mode: str = "balanced") -> Column:
@@ -115,16 +122,45 @@ def redact_json(c: Column, mode: str = "balanced", depth: int = 40) -> Column:
 
     Strings are found as tokens of the text: a name is one that a colon follows.  Values nested deeper than `depth` stay.
     """
-    token = r'("(?:[^"\\]|\\.)*"\s*:?|[\[\]{}]|[^"\[\]{}]+)'
+    return scanned_json(c, mode, depth)["text"]
+
+
+def scanned_json(c: Column, mode: str = "balanced", depth: int = 40) -> Column:
+    """As redact_json, with the kinds of all findings in order: struct(text, kinds)."""
+    # possessive, as a group that may give back is a call a turn, and long strings exhaust the stack
+    token = r'("(?:[^"\\]++|\\.)*+"\s*+:?|[\[\]{}]|[^"\[\]{}]++)'
     parts = F.regexp_extract_all(c, F.lit(token), F.lit(1))
-    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out"))
+    none = F.array().cast("array<string>")
+    start = F.struct(F.lit(0).alias("depth"), none.alias("out"), none.alias("kinds"))
 
     def step(acc: Column, p: Column) -> Column:
         value = F.startswith(p, F.lit('"')) & F.endswith(p, F.lit('"')) & (acc["depth"] <= depth)
         raw = F.try_variant_get(F.try_parse_json(p), "$", "string")
         out = F.when(value, F.to_json(F.array(masked(raw, secret_spans(raw), mode)))).otherwise(p)
         bare = F.when(value, F.substring(out, F.lit(2), F.length(out) - 2)).otherwise(p)
+        kinds = F.when(value, F.concat(acc["kinds"], F.transform(secret_spans(raw), lambda s: s["kind"]))).otherwise(acc["kinds"])
         change = F.when(p.isin("{", "["), 1).when(p.isin("}", "]"), -1).otherwise(0)
-        return F.struct((acc["depth"] + change).alias("depth"), F.concat(acc["out"], F.array(bare)).alias("out"))
+        return F.struct((acc["depth"] + change).alias("depth"), F.concat(acc["out"], F.array(bare)).alias("out"), kinds.alias("kinds"))
+
+    return F.aggregate(parts, start, step, lambda acc: F.struct(F.array_join(acc["out"], "").alias("text"), acc["kinds"].alias("kinds")))
 
-    return F.array_join(F.aggregate(parts, start, step, lambda acc: acc["out"]), "")
+
+def redact_documents(documents: DataFrame, keys: list[str], mode: str = "balanced", valid: Callable[[Column], Column] | None = None) -> DataFrame:
+    """documents with every string of their columns masked, but for the keys, and `findings`, the kinds found in each.
+
+    A document goes through JSON and back.  Where its masked form isn't read as what it was (a column's type doesn't take
+    it, or `valid` of the struct of columns says no) the document stays as it was, and has no findings.
+    """
+    kinds = T.StructType([f for f in documents.schema if f.name not in keys])
+    bad, own = "_bad", "_document"
+    while bad in documents.columns or own in documents.columns:
+        bad, own = bad + "_", own + "_"
+    body = F.to_json(F.struct(*kinds.names), {"ignoreNullFields": "false"})
+    rows = documents.withColumn(own, F.struct(scanned_json(body, mode).alias("seen")))
+    read = F.from_json(F.col(f"{own}.seen.text"), T.StructType([*kinds, T.StructField(bad, T.StringType())]), {"columnNameOfCorruptRecord": bad})
+    rows = rows.withColumn(own, F.struct(F.col(f"{own}.seen.kinds").alias("kinds"), read.alias("read")))
+    good = (F.size(f"{own}.kinds") > 0) & F.col(f"{own}.read").isNotNull() & F.col(f"{own}.read.{bad}").isNull()
+    if valid is not None:
+        good = good & F.coalesce(valid(F.col(f"{own}.read")), F.lit(False))
+    back = {n: F.when(good, F.col(f"{own}.read.`{n}`")).otherwise(F.col(f"`{n}`")) for n in kinds.names}
+    return rows.withColumns(back | {"findings": F.when(good, F.col(f"{own}.kinds")).otherwise(F.array().cast("array<string>"))}).drop(own)

@@ -13,6 +13,7 @@ from ..sources import events as sources
 from . import logs
 from .logs import LOG_SQL, NORM_SQL, matches, quoted
 from .queries import _BARE_END, _CUT, _KEY, _STRIP, query
+from .shared import written
 from .testdata import table
 
 N = NORM_SQL
@@ -164,6 +165,14 @@ def r5_redacted_text(spark, d):
     return redact.redact(table(spark, d, "documents")).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
+@query(_FINDINGS + " SELECT doc_id, (SELECT count(*) FROM f WHERE f.doc_id = documents.doc_id) AS n, length(text) AS n_before FROM documents")
+def r8_redacted_documents(spark, d):
+    """Texts as documents that are masked through JSON and back, with the number of findings of the rules that both engines can state."""
+    docs = table(spark, d, "documents").select("doc_id", F.struct("text", F.array("lang", "source").alias("tags")).alias("body"), F.length("text").cast("long").alias("n_before"))
+    rows = redact.redact_documents(docs, ["doc_id", "n_before"])
+    return rows.select("doc_id", F.size(F.filter("findings", lambda k: k.isin(_EASY))).cast("long").alias("n"), "n_before")
+
+
 # --- sections ----------------------------------------------------------------------------------------------------------
 
 _TOOLS = "('terminal', 'file_edit', 'file_read', 'build', 'test', 'tool_call')"
@@ -316,11 +325,11 @@ def c1_compressed(spark, d):
 @query(None)
 def d1_memory_document(spark, d):
     n = logs.normalised(spark, d)
-    doc = memory.reconstruct(n, logs.sessions(spark, d), logs.project(spark, d))
+    doc = memory.reconstruct(n, logs.sessions(spark, d), logs.project(spark, d), keep=written)
     return doc.select("session_id", F.to_json(F.struct("*")).alias("document"))
 
 
 @query(None)
 def g1_markdown(spark, d):
     n = logs.normalised(spark, d)
-    return revise.as_markdown(memory.reconstruct(n, logs.sessions(spark, d), logs.project(spark, d)))
+    return revise.as_markdown(memory.reconstruct(n, logs.sessions(spark, d), logs.project(spark, d), keep=written))

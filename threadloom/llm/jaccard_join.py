@@ -144,15 +144,14 @@ def possible_rows(sets: DataFrame) -> DataFrame:
     need, before = least_shared(F.col("n")), -1
     while True:
         often = save(entries.groupBy("column").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "often")
-        listed = entries.join(often, "column").groupBy("row", "n").agg(F.sort_array(F.collect_list(F.struct("often", "column"))).alias("own"))
+        listed = entries.join(often, "column").groupBy("row", "n").agg(F.sort_array(F.collect_list(F.struct("often", "column"))).alias("own"), (F.sum(F.log2("often")) / F.first("n")).alias("typical"))
         listed = save(listed.filter(F.size("own") >= need), "rows")
         rows = listed.count()
         if rows == 0 or 0 <= before <= 1.05 * rows:
             break
         before, entries = rows, listed.select("row", "n", F.explode("own.column").alias("column"))
-    typical = F.aggregate("own", F.lit(0.0), lambda a, x: a + F.log2(x["often"])) / F.col("n")
     kept = F.slice("own.column", 1, F.size("own") - need + 1)
-    return listed.select("row", typical.alias("typical"), F.explode(kept).alias("column"))
+    return listed.select("row", "typical", F.explode(kept).alias("column"))
 
 
 def blocks(entries: DataFrame) -> DataFrame:

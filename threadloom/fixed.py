@@ -193,20 +193,67 @@ RISKS = {
     "secrets": ("会话中检测到 {} 处潜在敏感信息", "若被注入到目标 Agent 上下文可能造成泄露", "已按配置脱敏；建议人工复核原始会话文件"),
     "no_path": ("项目路径不可访问", "目标 Agent 无法核对真实代码状态", "接续前确认项目路径正确"),
 }
-#: Titles and set phrases of a rendered document.
+#: Titles and set phrases of a rendered document; {} are values, of which `tool` is the name of what writes it.
 RENDER = {
     "document": "# 任务记忆（Canonical Memory）",
+    "written_by": "> 本文件由 **{}** 生成，用于让接续的 Agent 直接恢复任务状态，不必重新分析已完成的工作。",
+    "meta_title": "## 0. 元信息", "meta_head": "| 项 | 值 |", "meta_rule": "| --- | --- |",
+    "meta": ["| memory_id | `{}` |", "| 来源 Agent | {} |", "| 来源会话 | `{}` |", "| 协议版本 | {} |", "| 生成时间 | {} |", "| 重建方式 | {} |", "| 置信度 | {} |"],
     "task_title": "任务", "done_title": "已完成的工作", "decisions_title": "已做出的关键决策", "failed_title": "已尝试但失败的方案 ⚠", "checks_title": "验证结果",
-    "open_title": "当前未解决的问题", "next_title": "下一步行动", "risks_title": "风险提示", "commands_title": "运行环境", "conflicts_title": "冲突处理原则",
-    "title": "标题", "status": "状态", "goal": "目标", "background": "背景",
-    "nothing_done": "（未从执行记录中识别到已完成动作）", "no_decisions": "（会话中未提取到明确的技术决策）", "no_failed": "（未检测到失败尝试）",
-    "no_tests": "- 测试：未检测到测试命令执行记录", "no_open": "（无已知未解决问题）", "no_next": "（无待办，请先与用户确认任务是否已闭环）",
-    "files_head": "| 文件 | 状态 | 说明 |\n| --- | --- | --- |\n", "failed_head": "| # | 动作 | 结果 | 报错 | 经验 |\n| --- | --- | --- | --- | --- |\n",
-    "tests_head": "| 命令 | 结果 | 输出摘要 |\n| --- | --- | --- |\n", "order": "真实文件系统 > Git 状态 > 运行时状态 > 本 Memory > 会话摘要",
-    "context_head": "<!-- task-context:begin -->\n# 接续任务上下文\n\n本项目存在一个**进行中的开发任务**，**不要重新分析已经完成的工作，也不要重复已经失败的方案**。\n",
-    "context_tail": "完整记忆见 `{}`，需要细节时请自行读取。\n\n如本段描述与当前代码或 Git 状态冲突，**以真实文件与 Git 为准**。\n<!-- task-context:end -->",
+    "open_title": "当前未解决的问题", "next_title": "下一步行动", "risks_title": "风险提示", "git_title": "Git 状态", "runtime_title": "运行环境", "conflicts_title": "冲突处理原则",
+    "title": "- **标题**：{}", "status": "- **状态**：{}", "goal": "- **目标**：{}", "background": "- **背景**：{}", "requirements": "### 需求", "constraints": "### 约束",
+    "none": "（无）", "nothing_done": "（未从执行记录中识别到已完成动作）",
+    "files": "### 已修改文件", "files_head": "| 文件 | 状态 | 说明 |", "files_rule": "| --- | --- | --- |", "created": "### 新增文件", "deleted": "### 删除文件",
+    "decided": "> 以下方案已经确定，**不要重新讨论**。", "decision_reason": "  - 原因：{}", "no_decisions": "（会话中未提取到明确的技术决策）",
+    "failed": "> **这些方案已经试过并且失败，不要重复执行。**", "failed_head": "| # | 动作 | 结果 | 报错 | 经验 |", "failed_rule": "| --- | --- | --- | --- | --- |", "no_failed": "（未检测到失败尝试）",
+    "tests_head": "| 命令 | 结果 | 来源 | 输出摘要 |", "tests_rule": "| --- | --- | --- | --- |", "no_tests": "- 测试：未检测到测试命令执行记录",
+    "by_program": "程序解析", "by_model": "⚠ LLM 归纳（未经程序校验）", "build": "- 构建：{}（`{}`）", "no_build": "- 构建：未检测到构建命令", "lint": "- 静态检查：{}",
+    "issue": "- **[{}] {}**", "issue_cause": "  - 推测原因：{}", "issue_context": "  - 上下文：`{}`", "no_open": "（无已知未解决问题）",
+    "action_reason": "   - 依据：{}", "no_next": "（无待办，请先与用户确认任务是否已闭环）", "risk_impact": "  - 影响：{}", "risk_mitigation": "  - 建议：{}",
+    "git_at": "- 分支：`{}`　HEAD：`{}`", "git_status": "- 状态：{}", "git_files": "- 改动文件（{}）：{}", "git_diff": ["", "<details><summary>git diff --stat</summary>", "", "```"], "git_diff_end": ["```", "", "</details>"], "no_git": "（无 Git 信息）",
+    "git_note": ["> 说明：Memory 只描述状态，**真实代码以文件系统为准，真实变更以 Git 为准**。", "> 本工具默认不自动 commit，Working Tree 保持原样。"],
+    "folder": "- 工作目录：`{}`", "system": "- 操作系统：{}", "shell": "- Shell：{}", "commands": "- 最近执行的命令：", "command": "  - `{}`",
+    "conflicts": ["如本文件描述与当前项目实际状态冲突，**以真实状态为准**，优先级为：", "", "```text", "真实文件系统 > Git 状态 > 运行时状态 > 本 Memory > 会话摘要", "```"],
+    "context_head": ["# 接续任务上下文（由 {} 生成）", "", "本项目存在一个**进行中的开发任务**。以下是从上一个 Agent 的会话恢复出的状态，", "**不要重新分析已经完成的工作，也不要重复已经失败的方案**。", ""],
+    "context_tail": ["", "完整记忆（含失败明细、验证结果、Git 状态）见 `{}`，需要细节时请自行读取。", "", "如本段描述与当前代码或 Git 状态冲突，**以真实文件与 Git 为准**。"],
     "read": "请先读取 {}，理解任务当前状态，然后继续执行。",
-    "rules": "1. **不要重新分析或重做已经完成的工作**\n2. **不要重复已经失败的方案**\n3. 先核对真实代码与 Git 状态，再动手\n4. 从「下一步行动」开始推进",
+    "rules": [
+        "1. **不要重新分析或重做已经完成的工作**——已完成内容见 memory.md 第 2 节。",
+        "2. **不要重复已经失败的方案**——失败方案及原因见 memory.md 第 4 节。",
+        "3. 先核对真实代码与 Git 状态，再动手：Memory 只描述状态，真实状态以文件和 Git 为准。",
+        "4. 从 memory.md 第 7 节的「下一步行动」开始推进；若发现 Memory 与实际状态冲突，以实际状态为准，并说明冲突点。",
+        "5. 动手前先用一两句话复述你理解的任务现状与本次要做的事，然后开始执行。",
+    ],
+}
+#: How values are shown in a rendered document.
+SHOWN = {
+    "priority": {"critical": "严重", "high": "高", "medium": "中", "low": "低"},
+    "status": {"pending": "待开始", "in_progress": "进行中", "blocked": "受阻", "completed": "已完成"},
+    "confidence": {"unknown": "未知", "low": "低", "medium": "中", "high": "高"},
+    "file": {"modified": "修改", "added": "新增", "deleted": "删除"},
+    "test": {"passed": "✅ 通过", "failed": "❌ 失败", "skipped": "⏭ 跳过"},
+}
+#: Headings of what a writer of patches is told, and the form that it has to keep to.
+PROMPT = {
+    "source": "## 来源\n- Agent：{}\n- Session：{}",
+    "project": "## 项目真实状态（优先于对话描述）\n- 路径：{}\n- 名称：{}\n- 语言：{}\n- 框架：{}\n- 顶层结构：{}",
+    "git": "## Git 状态\n- 分支：{}\n- HEAD：{}\n- 状态：{}", "diff": "\n- diff --stat：\n```\n{}\n```",
+    "digest": "## 执行记录时间线\n```\n{}\n```", "facts": "## 附加事实\n{}",
+    "contract": "## 输出契约\n严格按以下 JSON Schema 输出（只输出 JSON）：\n```json\n{}\n```",
+}
+PATCH_FORM = {
+    "task": {
+        "title": "string，任务标题，不超过 40 字", "goal": "string，用户最终想要达成的目标", "status": "pending | in_progress | blocked | completed", "requirements": ["string，用户明确提出的要求"],
+        "constraints": ["string，明确的技术约束"], "confidence": "unknown | low | medium | high",
+    },
+    "conversation": {"summary": "string，任务层面的摘要（不是聊天流水账）", "key_points": ["string，关键结论"], "user_preferences": ["string，用户表现出的偏好"]},
+    "decisions": [{"decision": "string", "reason": "string|null", "alternatives": ["string"]}],
+    "implementation": {"completed": ["string，已完成的动作"], "modified_files": [{"path": "string", "summary": "string", "status": "modified|added|deleted"}]},
+    "attempts": [{"action": "string", "purpose": "string|null", "result": "string，实际结果", "success": "boolean", "error": "string|null，报错信息", "lesson": "string|null，从失败中学到的东西"}],
+    "validation": {"tests": [{"command": "string", "status": "passed|failed|skipped", "output_summary": "string|null"}]},
+    "unresolved": [{"description": "string", "priority": "low|medium|high|critical", "context": "string|null", "suspected_cause": "string|null"}],
+    "next_actions": [{"action": "string", "reason": "string|null", "priority": "integer 从 1 开始"}],
+    "risks": [{"description": "string", "impact": "string|null", "mitigation": "string|null"}],
 }
 
 #: What the rule extractor reads in a digest, and its set phrases.

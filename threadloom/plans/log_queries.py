@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..fixed import LABEL, NO_SECRETS, SECRET_RULES
 from ..functions import text as X
 from ..operators import aggregate as A
-from ..operators import compress, memory, redact, revise
+from ..operators import compress, memory, redact, render
 from ..sources import bubble_kv, call_log, project_log, rollout
 from ..sources import events as sources
 from . import logs
@@ -332,4 +332,4 @@ def d1_memory_document(spark, d):
 @query(None)
 def g1_markdown(spark, d):
     n = logs.normalised(spark, d)
-    return revise.as_markdown(memory.reconstruct(n, logs.sessions(spark, d), logs.project(spark, d), keep=written))
+    return render.as_markdown(memory.reconstruct(n, logs.sessions(spark, d), logs.project(spark, d), keep=written))

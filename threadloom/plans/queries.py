@@ -295,20 +295,6 @@ def w2_head_n(spark, d):
     return compress.head_per_category(tool_events(spark, d)).select("event_id")
 
 
-@query(f"""WITH {T}, b AS (SELECT *, length(command) * (1 + k % 9) + 1 AS size, CASE WHEN is_failure THEN 3 ELSE 1 + k % 3 END AS tier FROM t),
-s AS (SELECT session_id, greatest(1, (sum(size) - 1) // 4) AS s1, greatest(1, (coalesce(sum(size) FILTER (tier > 1), 0) - 1) // 4) AS s2 FROM b GROUP BY 1)
-SELECT event_id FROM b JOIN s USING (session_id) WHERE tier > CASE WHEN s1 <= 300 THEN 0 WHEN s2 <= 300 THEN 1 ELSE 2 END""")
-def c3_budget_shrink(spark, d):
-    e = tool_events(spark, d).withColumn("significance", F.col("k") % 3 + 1).withColumn("block", F.expr("repeat(command, 1 + k % 9)"))
-    return compress.shrink(e, 300).select("event_id")
-
-
-@query(f"""WITH {T} SELECT session_id, string_agg(strftime(ts, '[%m-%d %H:%M]') || ' ' || rpad(upper(category), 14, ' ') || ' ' || command || CASE WHEN is_failure THEN ' !' ELSE '' END, chr(10) ORDER BY seq) AS digest
-FROM t GROUP BY 1""")
-def c2_digest(spark, d):
-    return compress.digest(tool_events(spark, d))
-
-
 def _text_query(name: str, column: Callable, sql: str | None) -> None:
     def run(spark, d):
         return table(spark, d, "documents").select("doc_id", column(F.col("text")).alias("out"))

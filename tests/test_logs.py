@@ -421,6 +421,13 @@ def test_store(spark, document, tmp_path):
     found = store.document(spark, str(tmp_path / "docs"), "mem_20260301_001").first()
     assert json.loads(found["document"])["task"]["status"] == "in_progress" and found["markdown"].startswith("# ")
     assert store.document(spark, str(tmp_path / "docs"), "none").count() == 0
+    with pytest.raises(LookupError):
+        store.document(spark, str(tmp_path / "docs"), "none", must_exist=True)
+    assert (listed["source_agent"], listed["session_id"], listed["status"], listed["title"]) == ("codex", "s", "in_progress", doc.first()["task"]["title"]) and listed["path"].endswith(".parquet") and len(listed) == 8
+    shown = revise.report_document(made)
+    assert len(shown.columns) == 20 and shown.first()["memory_id"] == "mem_20260301_001" and shown.first()["project"]["path"] == "/w"
+    report = revise.report_rows({"memories": (shown, ["memory_id"]), "numbers": (spark.range(9), [F.desc("id")])}, 3).collect()
+    assert [(r["section"], r["nth"]) for r in report] == [("memories", 1), ("numbers", 1), ("numbers", 2), ("numbers", 3)] and json.loads(report[1]["item"]) == {"id": 8}
     at = lambda s: F.lit(s).cast("timestamp")
     steps = spark.createDataFrame([(1, 1, "init"), (1, 2, "done"), (2, 1, "failed")], "run_id int, seq int, state string")
     store.save_ledger(steps.withColumns({"started": at("2026-03-01 10:00:00"), "ended": at("2026-03-01 10:00:02"), "detail": F.lit("")}), str(tmp_path / "ledger"))

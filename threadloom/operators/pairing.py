@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.events import CALL, FIELDS, RESULT, unmatched, with_calls
+
 
 def with_call_seq(events: DataFrame) -> DataFrame:
-    """events(session_id, seq, kind call or result, call_id) with call_seq: the latest call of that id before a result.
+    """events(session_id, seq, kind call or result, call_id) with call_seq, as the formats' own events are paired.
 
-    One window over session and id; an event without an id is never paired.
+    An event without an id is never paired.
     """
-    before = W.partitionBy("session_id", "call_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    call = F.when((F.col("kind") == "call") & F.col("call_id").isNotNull(), F.col("seq"))
-    return events.withColumn("call_seq", F.when(F.col("kind") == "result", F.last(call, ignorenulls=True).over(before)))
+    none = {c: F.lit(None).cast(FIELDS[c]) for c in ("tool_name", "command", "paths")}
+    shaped = events.withColumns({"type": F.when(F.col("kind") == "call", CALL).otherwise(RESULT), "own_id": F.col("call_id"), "call_id": F.col("call_id").cast("string")} | none)
+    return with_calls(shaped).withColumn("call_id", F.col("own_id")).select(*events.columns, "type", "call_seq")
 
 
 def pair_calls(events: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def pair_calls(events: DataFrame) -> DataFrame:
 
 
 def unmatched_results(events: DataFrame) -> DataFrame:
-    return with_call_seq(events).filter("kind = 'result' and call_seq is null").groupBy("session_id").agg(F.count(F.lit(1)).alias("n_unmatched"))
+    return unmatched(with_call_seq(events))
 
 
 def resolved_later(events: DataFrame) -> DataFrame:

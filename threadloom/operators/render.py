@@ -121,6 +121,17 @@ def initial_prompt(documents: DataFrame, reference: str) -> DataFrame:
     return documents.select(SESSION, F.array_join(text, "\n").alias("prompt"))
 
 
+def packed(chunks: Column, budget: int, used: int = 0) -> Column:
+    """Of chunks, an array of (size, lines) by weight, those that fit: struct(used, kept).  One that would pass the budget is left out, later ones may still fit."""
+    start = F.struct(F.lit(used).alias("used"), F.array().cast("array<string>").alias("kept"))
+
+    def step(acc: Column, chunk: Column) -> Column:
+        size = acc["used"] + chunk["size"]
+        return F.struct(F.when(size <= budget, size).otherwise(acc["used"]).alias("used"), F.when(size <= budget, F.concat(acc["kept"], chunk["lines"])).otherwise(acc["kept"]).alias("kept"))
+
+    return F.aggregate(chunks, start, step)
+
+
 def inline_context(documents: DataFrame, reference: str, marker: str = "threadloom", budget: int = 2600, tool: str = TOOL) -> DataFrame:
     """session_id, context: the document in brief, between two marks.
 
@@ -144,15 +155,8 @@ def inline_context(documents: DataFrame, reference: str, marker: str = "threadlo
     head = [f"<!-- {marker}:begin -->", *[x.format(tool) for x in RENDER["context_head"]]]
     tail = [*[x.format(reference) for x in RENDER["context_tail"]], f"<!-- {marker}:end -->"]
     chunks = F.array_compact(F.array(*[F.when(F.size(F.coalesce(b, none)) > 0, lines(f"## {t}", "", b, "")) for t, b in blocks]))
-    start = F.struct(F.lit(len("\n".join(head + tail))).alias("used"), none.alias("kept"))
-
-    def step(acc: Column, chunk: Column) -> Column:
-        used = acc["used"] + F.length(F.array_join(chunk, "\n"))
-        fits = used <= budget
-        return F.struct(F.when(fits, used).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["kept"], chunk)).otherwise(acc["kept"]).alias("kept"))
-
-    rows = documents.withColumn("chunks", chunks)
-    kept = F.aggregate("chunks", start, step, lambda acc: acc["kept"])
+    rows = documents.withColumn("chunks", F.transform(chunks, lambda c: F.struct(F.length(F.array_join(c, "\n")).alias("size"), c.alias("lines"))))
+    kept = packed(F.col("chunks"), budget, len("\n".join(head + tail)))["kept"]
     return rows.select(SESSION, F.array_join(lines(head, kept, tail), "\n").alias("context"))
 
 

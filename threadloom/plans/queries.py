@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import aggregate as A
-from ..operators import classify, compress, document, memory, pairing
+from ..operators import classify, compress, document, memory, pairing, render, revise
 from . import logs
 from .logs import matches
 from .testdata import MESSAGES_SQL as M
@@ -340,8 +340,8 @@ def d8_required(spark, d):
 SELECT event_id FROM t LEFT JOIN done USING (session_id) WHERE is_failure AND NOT contains(coalesce(blob, ''), left(lower(command), 16))""".replace(f", {_RESOLVED}", ""))
 def u4_todo_overlap(spark, d):
     e = tool_events(spark, d)
-    done = e.filter("not is_failure").select("session_id", F.col("command").alias("text"))
-    return document.without_done(e.filter("is_failure").withColumn("action", F.col("command")), done).select("event_id")
+    done = e.filter("not is_failure").groupBy("session_id").agg(F.collect_set("command").alias("completed"))
+    return memory.without_completed(e.filter("is_failure").withColumn("action", F.col("command")), done).select("event_id")
 
 
 _DIFF = f"""WITH {T}, s AS (SELECT session_id, count(*) AS events, count(DISTINCT k) AS commands, count(*) FILTER (is_failure) AS failures FROM t GROUP BY 1),
@@ -351,19 +351,23 @@ x AS (SELECT session_id, field, a, b, CASE WHEN a IS NOT DISTINCT FROM b THEN 's
 
 
 def _diff(spark, d):
-    snap = lambda e: e.groupBy("session_id").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("k").alias("commands"), F.count_if("is_failure").alias("failures"))
+    def snap(e):
+        sums = e.groupBy("session_id").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("k").alias("commands"), F.count_if("is_failure").alias("failures"))
+        return revise.tall(sums, {f"{c}（条）": F.col(c).cast("string") for c in ("events", "commands", "failures")})
+
     e = tool_events(spark, d)
-    return document.field_diff(snap(e), snap(e.filter("event_type != 'error'")), ["events", "commands", "failures"])
+    return revise.compared(snap(e), snap(e.filter("event_type != 'error'")))
 
 
 @query(_DIFF.replace("printf('%+d', b - a)", "CASE WHEN b > a THEN '+' ELSE '' END || (b - a)") + "SELECT * FROM x")
 def j10_field_diff(spark, d):
-    return _diff(spark, d)
+    state = F.when(F.col("delta") == "一致", "same").when(F.col("delta") == "不同", "different").otherwise(F.col("delta"))
+    return _diff(spark, d).select("session_id", F.regexp_replace("field", "（条）$", "").alias("field"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), state.alias("state"))
 
 
 @query(_DIFF.replace("printf('%+d', b - a)", "CASE WHEN b > a THEN '+' ELSE '' END || (b - a)") + "SELECT session_id, bool_and(state = 'same') AS invariant, count(*) FILTER (state <> 'same') AS n_changed FROM x GROUP BY 1")
 def d12_invariance(spark, d):
-    return document.invariant(_diff(spark, d))
+    return revise.facts_agree(_diff(spark, d))
 
 
 @query("SELECT user_id AS session_id, max(ts) AS updated FROM events GROUP BY 1 ORDER BY updated DESC, session_id LIMIT 20")
@@ -381,7 +385,9 @@ def o9_block_packing(spark, d):
     from pyspark.sql import Window as W
 
     m = messages(spark, d).select("session_id", F.row_number().over(W.partitionBy("session_id").orderBy("seq")).alias("nth"), F.col("content").alias("block"))
-    return document.pack_blocks(m, 600)
+    chunk = F.struct("nth", F.length("block").alias("size"), F.array(F.col("nth").cast("string")).alias("lines"))
+    fitting = m.groupBy("session_id").agg(render.packed(F.transform(F.array_sort(F.collect_list(chunk)), lambda x: F.struct(x["size"], x["lines"])), 600).alias("p"))
+    return fitting.select("session_id", F.col("p.used").cast("long").alias("used"), F.array_join("p.kept", ",").alias("kept"))
 
 
 @query("""SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)""")

@@ -181,7 +181,7 @@ def sessions(rows: DataFrame) -> DataFrame:
         "path", "composer_id", V.filled(F.col("v"), "$.name").alias("name"), V.string(F.col("v"), "$.status").alias("status"), V.filled(F.col("v"), "$.modelConfig.modelName").alias("model")
     )
     headers = rows.filter("kind = 'header'").select("path", "composer_id", "workspace_id", "created", "updated", "archived", "subagent")
-    return headers.join(sizes, ["path", "composer_id"]).join(stated, ["path", "composer_id"], "left")
+    return headers.join(sizes, ["path", "composer_id"]).join(stated, ["path", "composer_id"], "left").orderBy(F.desc_nulls_last("updated"), "path", "composer_id")
 
 
 def bubbles_in_order(rows: DataFrame) -> DataFrame:

@@ -39,12 +39,23 @@ def save_documents(documents: DataFrame, path: str, mode: str = "balanced") -> N
 
 
 def catalogue(spark: SparkSession, path: str, limit: int = 20) -> DataFrame:
-    """The newest documents, without their bodies."""
-    return spark.read.parquet(path).select("memory_id", "session_id", "created", "size").orderBy(F.desc("created"), "memory_id").limit(limit)
+    """The newest documents, without their bodies: memory_id, source_agent, session_id, title, status, path, created, size.
+
+    A document that can't be read as JSON is left out.
+    """
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("path"), F.try_parse_json("document").alias("d")).filter("d is not null")
+    field = lambda p: F.try_variant_get("d", p, "string")
+    return rows.orderBy(F.desc("created"), "memory_id").limit(limit).select(
+        "memory_id", field("$.metadata.source_agent").alias("source_agent"), "session_id", field("$.task.title").alias("title"), field("$.task.status").alias("status"), "path", "created", "size"
+    )
 
 
-def document(spark: SparkSession, path: str, memory_id: str) -> DataFrame:
-    return spark.read.parquet(path).filter(F.col("memory_id") == memory_id)
+def document(spark: SparkSession, path: str, memory_id: str, must_exist: bool = False) -> DataFrame:
+    """The document of an id, or no row; with must_exist an id that isn't there is an error."""
+    found = spark.read.parquet(path).filter(F.col("memory_id") == memory_id)
+    if must_exist and found.isEmpty():
+        raise LookupError(f"no document {memory_id}")
+    return found
 
 
 def save_ledger(steps: DataFrame, path: str) -> None:

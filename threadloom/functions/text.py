@@ -16,6 +16,10 @@ from ..fixed import (
     WEAK_ERRORS,
 )
 
+#: A sequence that sets a terminal's colours and the like.
+ANSI = r"\x1b\[[0-9;]*[a-zA-Z]"
+
+
 def text_of(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -74,11 +78,23 @@ def dedupe_key(c: Column, n: int = 60) -> Column:
     return F.left(F.regexp_replace(text_of(c), KEY_IGNORES, ""), F.lit(n))
 
 
+def once(c: Column, f) -> Column:
+    """f(c), where f names its argument more than once: c is computed a single time."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def first_error_line(c: Column, limit: int = 200) -> Column:
-    """The first line with a strong error word, else with a weak one, else an empty text.  Lines that describe a process don't count."""
-    found = F.filter(F.transform(lines(c), strip_ansi), lambda x: (x != "") & ~F.rlike(x, F.lit(NOISE_LINE)))
-    pick = lambda words: F.get(F.filter(found, lambda x: F.rlike(F.lower(x), F.lit(any_of(words)))), F.lit(0))
-    return truncate(F.coalesce(pick(STRONG_ERRORS), pick(WEAK_ERRORS), F.lit("")), limit)
+    """The first line with a strong error word, else with a weak one, else an empty text.  Lines that describe a process don't count.
+
+    Lines are only looked at in texts that hold a word at all.
+    """
+    has = lambda x, words: F.rlike(F.lower(x), F.lit(any_of(words)))
+    told = lambda t: F.filter(F.transform(F.split(t, LINE_ENDS), strip), lambda x: (x != "") & ~F.rlike(x, F.lit(NOISE_LINE)))
+    first = lambda found, words: F.get(F.filter(found, lambda x: has(x, words)), F.lit(0))
+    pick = lambda found: F.coalesce(first(found, STRONG_ERRORS), first(found, WEAK_ERRORS), F.lit(""))
+    plain = F.regexp_replace(text_of(c), ANSI, "")
+    line = once(plain, lambda t: F.when(has(t, STRONG_ERRORS + WEAK_ERRORS), once(told(t), pick)).otherwise(""))
+    return once(line, lambda x: truncate(x, limit))
 
 
 def table_cell(c: Column, limit: int = 160) -> Column:
@@ -110,7 +126,7 @@ def safe_name(c: Column, n: int = 120) -> Column:
 
 
 def strip_ansi(c: Column) -> Column:
-    return strip(F.regexp_replace(text_of(c), r"\x1b\[[0-9;]*[a-zA-Z]", ""))
+    return strip(F.regexp_replace(text_of(c), ANSI, ""))
 
 
 def exit_code(c: Column) -> Column:

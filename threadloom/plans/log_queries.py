@@ -111,12 +111,16 @@ def p15_bubble_events(spark, d):
 
 @query(f"""WITH {LOG_SQL} SELECT 'codex' AS agent, count(*) AS n FROM (SELECT 1 FROM x WHERE event_type <> 'signup' UNION ALL SELECT 1 FROM x WHERE event_type <> 'signup' OR k < 3 OR k >= 97
   UNION ALL SELECT 1 FROM (SELECT DISTINCT session_id FROM x) UNION ALL SELECT 1 FROM u WHERE role <> 'system' AND text <> '')
-UNION ALL SELECT 'workbuddy', count(*) FROM (SELECT 1 FROM x WHERE event_type <> 'signup' UNION ALL SELECT 1 FROM x WHERE event_type <> 'signup' UNION ALL SELECT 1 FROM u WHERE role <> 'system' AND text <> '')""")
+UNION ALL SELECT 'workbuddy', count(*) FROM (SELECT 1 FROM x WHERE event_type <> 'signup' UNION ALL SELECT 1 FROM x WHERE event_type <> 'signup' UNION ALL SELECT 1 FROM u WHERE role <> 'system' AND text <> '')
+UNION ALL SELECT 'claude', count(*) FROM (SELECT 1 FROM x, range(3) WHERE event_type <> 'signup' UNION ALL SELECT 1 FROM u WHERE role <> 'system' AND text <> '' AND turn % 5 <> 4)
+UNION ALL SELECT 'cursor', count(*) FROM (SELECT 1 FROM x, range(2) WHERE event_type = 'purchase' UNION ALL SELECT 1 FROM u WHERE role IN ('user', 'assistant') AND text <> '' UNION ALL SELECT 1 FROM u WHERE role = 'assistant' AND turn % 3 = 0)""")
 def u1_formats_union(spark, d):
+    """The events of all four formats in one table, counted by format."""
     from ..sources.formats import events_of
 
-    records = {"rollout": logs.rollout_records(spark, d), "call-log": logs.call_records(spark, d)}
-    return events_of(records).groupBy("agent").agg(F.count(F.lit(1)).alias("n"))
+    records = {"rollout": logs.rollout_records(spark, d), "call-log": logs.call_records(spark, d), "project-log": logs.project_records(spark, d)}
+    every = events_of(records).unionByName(bubble_kv.bubble_events(logs.bubbles(spark, d)))
+    return every.groupBy("agent").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- normalisation -----------------------------------------------------------------------------------------------------
@@ -198,6 +202,15 @@ def w5_task_status(spark, d):
     return memory.status(logs.normalised(spark, d))
 
 
+@query(f"""WITH {SECTIONS} SELECT c.session_id, 'task_' || c.session_id AS id, {say("from_agent", "'codex'")} || '；' || {say("in_folder", "cwd")} || '；' || {say("counts", "user_messages", "tool_calls", "failures")} || CASE WHEN NOT there THEN '；{LABEL["path_gone"]}' ELSE '' END AS background,
+'keep it small' AS constraints, CASE WHEN interrupted THEN 'in_progress' WHEN c.session_id IN (SELECT session_id FROM open) THEN 'blocked' WHEN ended_clean AND failures = 0 THEN 'completed' ELSE 'in_progress' END AS status,
+CASE WHEN user_messages + tool_calls = 0 THEN 'unknown' WHEN user_messages = 0 OR user_messages + tool_calls < 8 THEN 'low' ELSE 'medium' END AS confidence, 'heuristic' AS reconstructed_by FROM c JOIN p USING (session_id)""")
+def d14_task_section(spark, d):
+    """The task section of all documents, but for its texts, which have queries of their own."""
+    t = memory.task(logs.normalised(spark, d), logs.sessions(spark, d), logs.project(spark, d))
+    return t.select("session_id", "id", "background", joined("constraints").alias("constraints"), "status", "confidence", "reconstructed_by")
+
+
 _DONE = f"""{SECTIONS},
 e AS (SELECT session_id, path, count(*) AS edits, sum(plus)::BIGINT AS added, min(seq) AS first_seq FROM n WHERE category = 'file_edit' GROUP BY ALL),
 good AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS down FROM n WHERE category IN ('test', 'build') AND NOT is_failure)"""

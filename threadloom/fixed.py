@@ -182,8 +182,6 @@ LABEL = {
     "summary_folder": "在 {} 中，", "summary": "用户先后提出 {} 项需求；Agent 执行 {} 次工具调用（其中 {} 次失败），改动 {} 个文件。",
     "started": "Codex 会话开始（{}）", "unknown_folder": "未知目录", "compacted": "会话历史已被 Codex 压缩（compacted）",
     "start_unknown": "启动失败：原因未知", "start_same": "启动失败：{}（{} 种创建方式均被拒绝）", "start_each": "启动失败：",
-    "start_hint": "。这类错误通常不是参数问题，而是执行环境禁止创建进程：可尝试在普通终端（而非受限沙箱 / 受管 IDE 终端）中重跑，"
-    "或用 --no-launch 后手动执行上面打印的启动命令",
     "aborted": "本轮任务被中断（reason={}）", "api_failed": "API 调用失败",
 }
 #: description, impact, mitigation.
@@ -216,6 +214,8 @@ RENDER = {
     "conflicts": ["如本文件描述与当前项目实际状态冲突，**以真实状态为准**，优先级为：", "", "```text", "真实文件系统 > Git 状态 > 运行时状态 > 本 Memory > 会话摘要", "```"],
     "context_head": ["# 接续任务上下文（由 {} 生成）", "", "本项目存在一个**进行中的开发任务**。以下是从上一个 Agent 的会话恢复出的状态，", "**不要重新分析已经完成的工作，也不要重复已经失败的方案**。", ""],
     "context_tail": ["", "完整记忆（含失败明细、验证结果、Git 状态）见 `{}`，需要细节时请自行读取。", "", "如本段描述与当前代码或 Git 状态冲突，**以真实文件与 Git 为准**。"],
+    "context_task": "任务", "context_failed": "已尝试且失败的方案（不要重复）", "context_open": "当前未解决的问题", "context_next": "下一步", "context_done": "已完成", "context_decided": "已确定的方案（不要重新讨论）",
+    "context_goal": "- 目标：{}", "context_status": "- 状态：{}", "context_project": "- 项目：{}", "context_tried": "- ❌ {}", "context_why": " → {}",
     "read": "请先读取 {}，理解任务当前状态，然后继续执行。",
     "rules": [
         "1. **不要重新分析或重做已经完成的工作**——已完成内容见 memory.md 第 2 节。",
@@ -233,6 +233,8 @@ SHOWN = {
     "file": {"modified": "修改", "added": "新增", "deleted": "删除"},
     "test": {"passed": "✅ 通过", "failed": "❌ 失败", "skipped": "⏭ 跳过"},
 }
+#: How two documents compare in a field.
+SAME, DIFFERENT, COUNTED = "一致", "不同", "（条）"
 #: Headings of what a writer of patches is told, and the form that it has to keep to.
 PROMPT = {
     "source": "## 来源\n- Agent：{}\n- Session：{}",

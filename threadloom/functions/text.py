@@ -303,9 +303,7 @@ def start_failure(errors: Column) -> Column:
     reasons = F.array_distinct(F.transform(errors, reason))
     same = filled(LABEL["start_same"], F.get(reasons, F.lit(0)), F.size(errors))
     each = F.concat(F.lit(LABEL["start_each"]), F.array_join(errors, "；"))
-    said = F.when(F.size(reasons) == 1, same).otherwise(each)
-    hint = F.when(F.rlike(said, F.lit("WinError 5|拒绝访问")), LABEL["start_hint"]).otherwise("")
-    return F.when(F.size(errors) > 0, F.concat(said, hint)).otherwise(LABEL["start_unknown"])
+    return F.when(F.size(errors) > 0, F.when(F.size(reasons) == 1, same).otherwise(each)).otherwise(LABEL["start_unknown"])
 
 
 def upsert_section(document: Column, section: Column, begin: str, end: str) -> Column:

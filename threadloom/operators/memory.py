@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..fixed import ACTION_LEAD, DECISION, LABEL, LINT_COMMANDS, LIST_ITEM, PENDING, RISKS
+from ..fixed import ACTION_LEAD, DECISION, LABEL, LINT_COMMANDS, LIST_ITEM, PENDING, RISKS, SHOWN
 from ..functions import text as X
 from . import aggregate as A
 from . import compress
@@ -168,7 +168,7 @@ def edited_files(events: DataFrame) -> DataFrame:
     out = rows.groupBy(SESSION, "path").agg(
         F.count(F.lit(1)).alias("edits"), total("hunks"), total("added"), total("removed"), F.coalesce(known, F.lit("modified")).alias("status"), F.min("at").alias("first")
     )
-    verb = F.when(F.col("status") == "added", "新增").when(F.col("status") == "deleted", "删除").otherwise("修改")
+    verb = F.when(F.col("status").isin("added", "deleted"), F.element_at(F.create_map(*[F.lit(x) for pair in SHOWN["file"].items() for x in pair]), F.col("status"))).otherwise(SHOWN["file"]["modified"])
     told = X.filled(LABEL["edit_summary"], *[F.col(c) for c in ("hunks", "added", "removed", "edits")])
     return out.withColumn("summary", F.when(F.col("hunks") > 0, told).otherwise(X.filled(LABEL["edit_blind"], verb, F.col("edits"))))
 

@@ -141,20 +141,20 @@ def inline_context(documents: DataFrame, reference: str, marker: str = "threadlo
     short = lambda items, n, f: F.transform(F.slice(F.coalesce(items, F.array()), 1, n), f)
     line = lambda c, n: F.concat(F.lit("- "), X.clip(c, n))
     why = lambda a: X.clip(F.coalesce(told(a["error"]), a["result"]), 140)
-    tried = lambda a: F.concat(F.lit("- ❌ "), X.clip(a["action"], 130), F.when(why(a) != "", F.concat(F.lit(" → "), why(a))).otherwise(""))
-    path = F.when(told(F.col("project.path")).isNotNull(), F.concat(F.lit("- 项目："), "project.path"))
+    tried = lambda a: F.concat(filled("context_tried", X.clip(a["action"], 130)), F.coalesce(filled("context_why", told(why(a))), F.lit("")))
+    path = filled("context_project", told(F.col("project.path")))
     steps = by_priority(F.coalesce("next_actions", F.array().cast(documents.schema["next_actions"].dataType)))
     blocks = [
-        ("任务", lines(one(F.concat(F.lit("- 目标："), X.clip(F.col("task.goal"), 300))), one(F.concat(F.lit("- 状态："), "task.status")), one(path))),
-        ("已尝试且失败的方案（不要重复）", short(failed_attempts(), 5, tried)),
-        ("当前未解决的问题", short(F.col("unresolved"), 4, lambda i: line(i["description"], 160))),
-        ("下一步", short(steps, 4, lambda a: line(a["action"], 170))),
-        ("已完成", short(F.col("implementation.completed"), 4, lambda x: line(x, 150))),
-        ("已确定的方案（不要重新讨论）", short(F.col("decisions"), 3, lambda d: line(d["decision"], 150))),
+        ("task", lines(one(filled("context_goal", X.clip(F.col("task.goal"), 300))), one(filled("context_status", F.col("task.status"))), one(path))),
+        ("failed", short(failed_attempts(), 5, tried)),
+        ("open", short(F.col("unresolved"), 4, lambda i: line(i["description"], 160))),
+        ("next", short(steps, 4, lambda a: line(a["action"], 170))),
+        ("done", short(F.col("implementation.completed"), 4, lambda x: line(x, 150))),
+        ("decided", short(F.col("decisions"), 3, lambda d: line(d["decision"], 150))),
     ]
     head = [f"<!-- {marker}:begin -->", *[x.format(tool) for x in RENDER["context_head"]]]
     tail = [*[x.format(reference) for x in RENDER["context_tail"]], f"<!-- {marker}:end -->"]
-    chunks = F.array_compact(F.array(*[F.when(F.size(F.coalesce(b, none)) > 0, lines(f"## {t}", "", b, "")) for t, b in blocks]))
+    chunks = F.array_compact(F.array(*[F.when(F.size(F.coalesce(b, none)) > 0, lines(f"## {RENDER[f'context_{t}']}", "", b, "")) for t, b in blocks]))
     rows = documents.withColumn("chunks", F.transform(chunks, lambda c: F.struct(F.length(F.array_join(c, "\n")).alias("size"), c.alias("lines"))))
     kept = packed(F.col("chunks"), budget, len("\n".join(head + tail)))["kept"]
     return rows.select(SESSION, F.array_join(lines(head, kept, tail), "\n").alias("context"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixed import LABEL, NO_SECRETS, SECRET_RULES
+from ..fixed import LABEL, NO_SECRETS, RISKS, SECRET_RULES
 from ..functions import text as X
 from ..operators import aggregate as A
 from ..operators import compress, memory, redact, render
@@ -309,8 +309,8 @@ def d4_next_actions(spark, d):
     return memory.next_actions(logs.normalised(spark, d)).select("session_id", "nth", "action")
 
 
-@query(f"""WITH {_ISSUES} SELECT p.session_id, concat_ws('|', CASE WHEN p.session_id IN (SELECT session_id FROM rep) THEN '同类报错反复出现，可能存在未定位的根因' END, CASE WHEN is_git AND n_changed > 0 THEN '工作区存在 ' || n_changed || ' 个未提交改动' END,
-CASE WHEN NOT there THEN '项目路径不可访问' END) AS risks FROM p""")
+@query(f"""WITH {_ISSUES} SELECT p.session_id, concat_ws('|', CASE WHEN p.session_id IN (SELECT session_id FROM rep) THEN '{RISKS['repeated'][0]}' END, CASE WHEN is_git AND n_changed > 0 THEN replace('{RISKS['uncommitted'][0]}', '{{}}', CAST(n_changed AS VARCHAR)) END,
+CASE WHEN NOT there THEN '{RISKS['no_path'][0]}' END) AS risks FROM p""")
 def d5_risks(spark, d):
     r = memory.risks(logs.normalised(spark, d), logs.project(spark, d))
     return r.select("session_id", joined(F.transform("risks", lambda x: x["description"]), "|").alias("risks"))

@@ -38,6 +38,40 @@ def test_suffix_order(many, monkeypatch):
         assert order.tolist() == sorted(range(len(text)), key=lambda i: text.tolist()[i:])
 
 
+def test_order_of_strings():
+    """Suffixes are compared to their string's end; equal ones of later strings come first."""
+    r = random.Random(7)
+    for k in range(200):
+        letters = [b"ab", b"abc", b"\x00\xfe", b"abcdefgh"][k % 4]
+        strings = [bytes(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(r.randint(0, 12))]
+        strings += [s[: r.randint(0, len(s))] for s in strings[:5]]
+        text, order = lyndon.string_order(strings)
+        starts = np.cumsum([0, *[len(s) + 1 for s in strings]]).tolist()
+        suffixes = sorted((s[p:], -i, starts[i] + p) for i, s in enumerate(strings) for p in range(len(s) + 1))
+        assert order.tolist() == [starts[-1], *[x[2] for x in suffixes]]
+        assert bytes(text) == b"".join(bytes(b + 1 for b in s) + b"\0" for s in strings) + b"\0"
+
+
+def test_steps_of_any_numbers():
+    top = (1 << 63) - 1
+    for x in ([5], [3, 3, 3], [0, 255, 256], [9, 1, 70_000], [-top - 1, top, 0, -1], [1 << 33, (1 << 33) + 2], [0, 1 << 31, 3]):
+        assert passages.summed(passages.steps(np.array(x)), len(x)).tolist() == x
+
+
+def test_repeats_within_one_document_are_not_shared(spark, monkeypatch):
+    """Lines that a document repeats don't have to be sorted, nor is a table left that nothing reads."""
+    from pathlib import Path
+
+    line, seen = "a line of a form that stands again and again, number ", []
+    saved = passages.save
+    monkeypatch.setattr(passages, "save", lambda df, what: seen.append((what, out := saved(df, what))) or out)
+    docs = docs_of(spark, ["".join(f"{line}{n * n} " for n in range(9)), "another text that has nothing in common with all of the first"])
+    shared = passages.shared_anchors(docs.selectExpr("doc_id AS row", "doc_id AS doc", "text"), 8, 50)
+    assert shared.count() == 0
+    assert [r["n_removed"] for r in passages.repeats_digest(passages.remove_repeats(docs)).collect()] == [0, 0]
+    assert [what for what, df in seen if Path(df.saved_to.removeprefix("file:")).exists()] == ["covers"]
+
+
 @pytest.mark.parametrize("heavy", [1, 4096])
 def test_repeats(spark, texts, heavy, monkeypatch):
     monkeypatch.setattr(passages, "HEAVY", heavy)

@@ -35,6 +35,24 @@ def test_sketch_never_underestimates(spark):
     assert not count_min.merged_sketch(df.filter("v < 0"), lambda b: [own(b.column("v").to_pylist())], bits=6, depth=3).any()
 
 
+def test_sketch_tells_frequent_from_very_frequent(spark):
+    """Where all counters are beyond 255, what is more frequent still comes out as more frequent."""
+    df = spark.range(0, 6000, numPartitions=3).selectExpr("IF(id < 3000, -1L, id) AS v")
+    own = lambda v: np.array(v, np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    sketch = count_min.merged_sketch(df, lambda b: [own(b.column("v").to_pylist())], 3, 2, (1 << 32) - 1)
+    frequent, *others = count_min.counts_of(sketch, own([-1, *range(3000, 3050)])).tolist()
+    assert frequent >= 3000 and sketch.min() > 255 and sum(o < frequent for o in others) > 25
+
+
+def test_texts_let_through_for_many_ids(spark):
+    """Beyond a broadcast of ids, texts that aren't asked for stay out of the shuffle, and none asked for is lost."""
+    docs = spark.range(0, 20_000).selectExpr("IF(id = 77, NULL, id) AS doc_id", "'t' AS text")
+    wanted = docs.filter("doc_id % 10 = 3 OR doc_id IS NULL").selectExpr("doc_id AS doc_")
+    left = jaccard_join.likely_rows(docs, wanted, wanted.count())
+    assert left.columns == ["doc_id", "text"] and left.count() < 5000
+    assert left.join(wanted, F.col("doc_id").eqNullSafe(F.col("doc_")), "left_semi").count() == 2001
+
+
 def audit_by_hand(rows, least, top):
     def terms(t):
         return re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lowered(t))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import discard, save
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = down.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             down.select("u", F.col("m").alias("v"))
         )
-        edges = save(small.distinct(), "edges")
+        last, edges = edges, save(small.distinct(), "edges")
+        discard(last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -1,4 +1,4 @@
-"""Count-min sketches: filled within tasks, merged in a tree, handed back to tasks as saturated bytes.
+"""Count-min sketches: filled within tasks, merged in a tree, handed back to tasks as saturated bytes or as they are.
 
 A sketch has `depth` rows of 2**bits counters, so its size is set by its parameters and not by the data.  A count read
 from it is never below the true one.
@@ -28,10 +28,10 @@ def cells(hashes, row: int, bits: int):
     return (hashes * np.uint64(MIX[row]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def merged_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator], bits: int, depth: int):
-    """A sketch of all that `hashes` yields (arrays of uint64) for the batches of df: an array of uint8, depth x 2**bits.
+def merged_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator], bits: int, depth: int, most: int = 255):
+    """A sketch of all that `hashes` yields (arrays of uint64) for the batches of df: depth x 2**bits counts.
 
-    Counts above 255 are 255.  Every task sends its own sketch once, packed; FAN of them are added at a time, so neither
+    Counts above `most` are that, in the smallest unsigned type that holds it.  Every task sends its own sketch once, packed; FAN of them are added at a time, so neither
     a task nor the driver holds more than FAN pieces.  Without rows all counts are zero.
     """
     import numpy as np
@@ -61,14 +61,14 @@ def merged_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator], b
     for _ in range(max(1, math.ceil(math.log(max(2, df.rdd.getNumPartitions()), FAN)))):
         parts = parts.withColumn("part", F.floor(F.col("part") / FAN).cast("int"))
         parts = parts.groupBy("piece", "part").applyInArrow(add, "piece int, part int, counts binary")
-    out = np.zeros((depth << bits) // min(PIECE, 1 << bits) * min(PIECE, 1 << bits), np.uint8).reshape(-1, min(PIECE, 1 << bits))
+    out = np.zeros((depth << bits) // min(PIECE, 1 << bits) * min(PIECE, 1 << bits), np.min_scalar_type(most)).reshape(-1, min(PIECE, 1 << bits))
     for piece, _, packed in parts.toLocalIterator():
-        out[piece] = np.minimum(np.frombuffer(zlib.decompress(bytes(packed)), np.uint32), 255)
+        out[piece] = np.minimum(np.frombuffer(zlib.decompress(bytes(packed)), np.uint32), most)
     return out.reshape(depth, 1 << bits)
 
 
 def counts_of(sketch, hashes):
-    """The least of each hash's counters: at least its true count, up to 255."""
+    """The least of each hash's counters: at least its true count, up to the sketch's most."""
     import numpy as np
 
     depth, bits = len(sketch), int(sketch.shape[1]).bit_length() - 1

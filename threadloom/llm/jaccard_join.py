@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, small_batches
+from .common import discard, save, small_batches
 from .components import components
 from .count_min import counts_of, merged_sketch
 
 WORDS = 5
 PERCENT = 80
-#: Of a sketch of the columns' counts.
-BITS, DEPTH = 20, 2
+#: Of a sketch of the columns' counts: least and most bits, and its rows.  It has four counters a document within these.
+BITS, MOST_BITS, DEPTH = 20, 22, 2
 #: One in so many of a row's columns is looked at besides those that the bound needs.
 SPARE = 20
 #: Rows and shingles of a tile's side, columns multiplied at once, and typical rows that a large block is compared with.
@@ -43,8 +43,10 @@ ROWS = 1024
 ENTRIES = 1 << 21
 COLUMNS = 2048
 CENTRES = 3
-#: Rows whose texts are found by a broadcast of their ids; more are found by a shuffle.
+#: Rows whose texts are found by a broadcast of their ids; more are found by a shuffle of the texts that a bitmap of
+#: hashed ids lets through, with so many bits for each id.
 BROADCAST_IDS = 1 << 18
+BITS_PER_ID, BITS_PER_BITMAP = 16, 1 << 15
 #: Bytes of a text whose words are listed at once.
 AT_ONCE = 1 << 22
 
@@ -108,7 +110,8 @@ def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
             yield np.concatenate([shingle_names(t, words) for t in texts])
 
     texts = docs.select("doc_id", "text")
-    sketch = docs.sparkSession.sparkContext.broadcast(merged_sketch(texts.select("text"), hashes, BITS, DEPTH))
+    bits = min(MOST_BITS, max(BITS, (4 * docs.count() - 1).bit_length()))
+    sketch = docs.sparkSession.sparkContext.broadcast(merged_sketch(texts.select("text"), hashes, bits, DEPTH, (1 << 32) - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,24 +137,27 @@ def set_name(own) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def possible_rows(sets: DataFrame) -> DataFrame:
+def possible_rows(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """sets(row, n, columns) to the entries (row, column) that a pair within the bounds can share, and `typical`.
 
+    Besides, the table that they are read from.
+
     typical is larger for rows whose columns are frequent.  Each round counts the columns among the rows that are left; more
     rounds leave fewer rows, and none loses a row with a partner.
     """
     entries = sets.select("row", F.col("n").cast("int").alias("n"), F.explode("columns").alias("column"))
-    need, before = least_shared(F.col("n")), -1
+    need, before, last = least_shared(F.col("n")), -1, []
     while True:
         often = save(entries.groupBy("column").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "often")
         listed = entries.join(often, "column").groupBy("row", "n").agg(F.sort_array(F.collect_list(F.struct("often", "column"))).alias("own"), (F.sum(F.log2("often")) / F.first("n")).alias("typical"))
         listed = save(listed.filter(F.size("own") >= need), "rows")
-        rows = listed.count()
+        discard(often, *last)
+        rows, last = listed.count(), [listed]
         if rows == 0 or 0 <= before <= 1.05 * rows:
             break
         before, entries = rows, listed.select("row", "n", F.explode("own.column").alias("column"))
     kept = F.slice("own.column", 1, F.size("own") - need + 1)
-    return listed.select("row", "typical", F.explode(kept).alias("column"))
+    return listed.select("row", "typical", F.explode(kept).alias("column")), listed
 
 
 def blocks(entries: DataFrame) -> DataFrame:
@@ -162,13 +168,28 @@ def blocks(entries: DataFrame) -> DataFrame:
     return entries.select("row", "typical").distinct().join(found, "row")
 
 
+def likely_rows(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """The rows of docs(doc_id, ...) whose doc_id is in wanted(doc_), n rows, and about one in BITS_PER_ID of the others."""
+    bitmaps = math.ceil(n * BITS_PER_ID / BITS_PER_BITMAP)
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bitmaps * BITS_PER_BITMAP))
+    marks = wanted.select(place("doc_").alias("at")).groupBy(F.floor(F.col("at") / BITS_PER_BITMAP).alias("bucket")).agg(F.bitmap_construct_agg(F.col("at") % BITS_PER_BITMAP).alias("bitmap"))
+    marks = save(marks, "marks")
+    at = place("doc_id")
+    placed = docs.withColumns({"bucket": F.floor(at / BITS_PER_BITMAP), "bit": (at % BITS_PER_BITMAP).cast("int")})
+    byte = F.conv(F.hex(F.substring("bitmap", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return placed.join(F.broadcast(marks), "bucket").filter(F.getbit(byte, F.col("bit") % 8) == 1).drop("bucket", "bit", "bitmap")
+
+
 def with_shingles(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """wanted(doc, name, row, ...) with n and the shingles of its set, read from the texts of the documents named."""
     import numpy as np
 
     wanted = wanted.withColumnRenamed("doc", "doc_")
-    few = wanted.count() <= BROADCAST_IDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("doc_"))).drop("doc_id", "doc_")
+    n = wanted.count()
+    few = n <= BROADCAST_IDS
+    texts = docs.select("doc_id", "text")
+    texts = texts if few else likely_rows(texts, wanted, n)
+    texts = texts.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("doc_"))).drop("doc_id", "doc_")
     rest = [c for c in texts.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,7 +372,9 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     small_batches(docs.sparkSession)
     rows = save(shingle_sets(docs, words, percent), "shingles")
     sets = save(rows.filter("n > 0").groupBy("name", "n").agg(F.min("doc_id").alias("doc"), F.any_value("columns").alias("columns")).withColumn("row", F.monotonically_increasing_id()), "sets")  # numbers are fixed once written
-    found = save(blocks(possible_rows(sets)), "blocks")
+    entries, listed = possible_rows(sets)
+    found = save(blocks(entries), "blocks")
+    discard(listed)
     members = save(with_shingles(docs, found.join(sets.select("row", "name", "doc"), "row"), words), "members")
     sizes = members.groupBy("block").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("entries"))
     large = save(sizes.filter((F.col("rows") > ROWS) | (F.col("entries") > ENTRIES)).select("block"), "large")
@@ -359,10 +382,12 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     if large.count():
         near, labelled = centre_links(save(members.join(large, "block", "left_semi"), "large"), percent)
         edges = edges.unionByName(near).unionByName(tile_links(labelled, percent))
-    linked = components(edges)
+    linked = save(components(edges), "linked")
+    discard(members)
     named = sets.join(linked, sets["row"] == linked["node"], "left").select("name", "doc", F.coalesce("component", "row").alias("component"))
     named = save(named, "named")
     least = save(named.groupBy("component").agg(F.min("doc").alias("component_id")), "components")
+    discard(sets)
     named = save(named.join(least, "component").select("name", "component_id"), "named")
     out = rows.join(named, "name", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

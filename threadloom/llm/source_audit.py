@@ -76,21 +76,21 @@ def counted_terms(docs: DataFrame, least: int) -> DataFrame:
     sketch = docs.sparkSession.sparkContext.broadcast(merged_sketch(rows, hashes, BITS, DEPTH))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict[bytes, bool]] = {}
+        known: dict[str, tuple[set[bytes], set[bytes]]] = {}
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
         size = 0
 
-        def possible(lang: str, terms: set[bytes]) -> set[bytes]:
-            own = known.setdefault(lang, {})
-            good = {t for t in terms if own.get(t)}
-            new = [t for t in terms if t not in own]
+        def learn(lang: str, terms: set[bytes], good: set[bytes], bad: set[bytes]) -> set[bytes]:
+            """Sort terms into good and bad; those returned are too long to be remembered."""
+            if len(good) + len(bad) + len(terms) > HELD:
+                good.clear()
+                bad.clear()
+            new = list(terms - good - bad)
             if new:
                 verdicts = (counts_of(sketch.value, term_hashes(lang, new)) >= least).tolist()
                 good.update(t for t, v in zip(new, verdicts) if v)
-                if len(own) + len(new) > HELD:
-                    own.clear()
-                own.update((t, v) for t, v in zip(new, verdicts) if len(t) <= 64)
-            return good
+                bad.update(t for t, v in zip(new, verdicts) if not v)
+            return {t for t in new if len(t) > 64}
 
         def packed() -> Iterator[pa.RecordBatch]:
             for (lang, source), (documents, occurrences) in held.items():
@@ -110,11 +110,14 @@ def counted_terms(docs: DataFrame, least: int) -> DataFrame:
             for lang, source, text in plain_rows(batch):
                 documents, occurrences = held.setdefault((lang, source), (Counter(), Counter()))
                 before, seen = len(documents), set()
+                good, bad = known.setdefault(lang, (set(), set()))
                 for terms in terms_of(text):
-                    counts = Counter(terms)
-                    good = possible(lang, set(counts))
-                    occurrences.update({t: counts[t] for t in good})
-                    seen |= good
+                    distinct = set(terms)
+                    long = learn(lang, distinct, good, bad)
+                    occurrences.update(filter(good.__contains__, terms))
+                    seen |= distinct & good
+                    good -= long
+                    bad -= long
                 documents.update(seen)
                 size += len(documents) - before
                 if size > HELD:

@@ -273,6 +273,12 @@ def test_repeated_labels_and_rows(spark):
     assert len(rows) == 8 and len({(r["doc_id"], r["score"]) for r in rows}) == 4 and set(docs.columns) <= set(rows[0].asDict())
 
 
+def test_encoder_is_kept_by_a_worker():
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocabulary = f.read()
+    assert packing.encoder(vocabulary) is packing.encoder(str(vocabulary))
+
+
 def test_least_slack():
     r = random.Random(8)
     for _ in range(300):

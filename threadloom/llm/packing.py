@@ -10,6 +10,7 @@ it.  What is left at a partition's end is cut into sequences of powers of two, w
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,12 +33,14 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+
 END_OF_WORD = "</w>"
 
 
+@functools.lru_cache(maxsize=1)
 def encoder(vocabulary: str):
     """A function from a list of texts to a list of bytes: their ids as little-endian 32-bit integers.
 
     The vocabulary is lower case, drops white space and merges nothing across the pieces that it splits a text into.
     So pieces are encoded once each, many in one string, and are told apart by the tokens that end a word.  A text
-    with other characters, or with a control string, is encoded as a whole.
+    with other characters, or with a control string, is encoded as a whole.  A worker keeps it for its next task,
+    with the pieces that it knows.
     """
     import gc
     import json

@@ -64,3 +64,17 @@ def test_short_passages_are_found(spark, tmp_path):
     spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     own, want = compared(spark, str(tmp_path), QUERIES["j6_contains_join"], ORACLE_SQL["j6_contains_join"])
     assert own == want and (0, 0) in own[1] and (1, 0) in own[1]
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Joins as on large tables, where no side is small enough to be sent to all tasks."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_digests_without_broadcast(spark, no_broadcast):
+    own, want = compared(spark, SF, QUERIES["c2_digest"], ORACLE_SQL["c2_digest"])
+    assert own == want

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import united
 from ..sources.events import CALL, FIELDS, RESULT, unmatched, with_calls
 
 
@@ -31,7 +32,7 @@ def pair_calls(events: DataFrame) -> DataFrame:
     orphans = seen.filter("kind = 'result' and call_seq is null").select(
         "session_id", "seq", "call_id", F.lit(0).cast("long").alias("n_results"), F.col("seq").alias("result_seq"), "value"
     )
-    return paired.unionByName(orphans)
+    return united(paired, orphans)
 
 
 def unmatched_results(events: DataFrame) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 
+from ..functions.tables import united
 from . import call_log, project_log, rollout
 
 
@@ -41,4 +41,4 @@ def format_named(name: str) -> LogFormat:
 
 def events_of(records: dict[str, DataFrame]) -> DataFrame:
     """The events of several formats' records in one table."""
-    return reduce(DataFrame.unionByName, [format_named(name).events(rows) for name, rows in records.items()])
+    return united(*[format_named(name).events(rows) for name, rows in records.items()])

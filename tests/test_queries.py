@@ -78,3 +78,14 @@ def no_broadcast(spark):
 def test_digests_without_broadcast(spark, no_broadcast):
     own, want = compared(spark, SF, QUERIES["c2_digest"], ORACLE_SQL["c2_digest"])
     assert own == want
+
+
+@pytest.mark.parametrize("name", ["d1_memory_document", "g1_markdown", "d12_comparison", "d6_merged_documents", "k6_patches"])
+def test_documents_without_broadcast(spark, no_broadcast, name):
+    if name in ORACLE_SQL:
+        own, want = compared(spark, SF, QUERIES[name], ORACLE_SQL[name])
+        assert own == want
+    else:
+        rows = QUERIES[name](spark, SF).collect()
+        want = {str(r["user_id"]) for r in spark.read.parquet(f"{SF}/events.parquet").select("user_id").distinct().collect()}
+        assert {r["session_id"] for r in rows} == want and len(rows) == len(want) and all(r[1] for r in rows)
